@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("tokencount", "bpe",)
+MODULES = ("tokencount", "bpe", "licenses",)
 
 
 def _built():

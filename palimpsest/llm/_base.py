@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows handed to Python at once. Texts of a million characters then still fit a worker.
 ROWS_AT_ONCE = 256
@@ -22,7 +24,6 @@ def map_rows(
     columns: list,
     make: Callable[[], Callable[..., Iterable]],
     schema: str,
-    types: list[pa.DataType],
     rows: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """Map ``df.select(columns)`` batch by batch.
@@ -30,6 +31,7 @@ def map_rows(
     ``make()`` runs once per task and returns a function of the batch's columns (Python
     lists) that returns the output columns. Only the named columns reach Python.
     """
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -37,11 +39,8 @@ def map_rows(
             f = f or make()
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                out = f(*(c.to_pylist() for c in b.columns))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=t) for v, t in zip(out, types)],
-                    names=[s.split()[0] for s in schema.split(", ")],
-                )
+                made = f(*(c.to_pylist() for c in b.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(made, out.types)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 

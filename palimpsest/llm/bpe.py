@@ -18,7 +18,6 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import public_tokenizers
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,7 +166,6 @@ def encode(df: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
         [F.col(id_col).cast("long"), text_of(text_col)],
         make,
         f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids,
-        [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids,
     )
 
 
@@ -179,7 +177,7 @@ def decode(df: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
         codec = Codec(path)
         return lambda keys, ids: (keys, [codec.decode(i or ()) for i in ids])
 
-    return map_rows(df, [F.col(id_col).cast("long"), F.col(ids_col)], make, f"{id_col} long, text string", [pa.int64(), pa.string()])
+    return map_rows(df, [F.col(id_col).cast("long"), F.col(ids_col)], make, f"{id_col} long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import public_tokenizers
-import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,7 +122,6 @@ def token_counts(
         [F.col(id_col).cast("long"), text_of(text_col)],
         make,
         f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean",
-        [pa.int64(), pa.int64(), pa.int64(), pa.bool_()],
     )
 
 
