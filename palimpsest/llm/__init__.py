@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("tokencount", "bpe", "licenses",)
+MODULES = ("tokencount", "bpe", "licenses", "warc", "chat",)
 
 
 def _built():
