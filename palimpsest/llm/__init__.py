@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("tokencount", "bpe", "licenses", "warc", "chat",)
+MODULES = ("tokencount", "bpe", "licenses", "warc", "chat", "quality",)
 
 
 def _built():
