@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "tokencount", "bpe", "licenses", "warc", "chat", "quality",)
+MODULES = ("topk", "tokencount", "bpe", "licenses", "warc", "chat", "quality", "tiling",)
 
 
 def _built():
