@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "tokencount", "bpe", "licenses", "warc", "chat", "quality", "tiling",)
+MODULES = ("topk", "warc", "tokencount", "licenses", "neardup", "chat", "bpe", "quality", "tiling",)
 
 
 def _built():

@@ -90,3 +90,26 @@ class Recent:
         self.new.update((w, v) for w, v in found.items() if len(w) <= self.longest)
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
+
+
+class Store:
+    """Written tables in one shared folder: they cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+#: Most ids that are broadcast; at 8 bytes each that is 32 MB.
+MOST_IDS = 4_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join on ids; they are broadcast only when counted to be few enough."""
+    ids = ids.select(F.col(ids.columns[0]).alias(id_col))
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, id_col, how)
