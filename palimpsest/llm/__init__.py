@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "warc", "tokencount", "licenses", "neardup", "chat", "bpe", "quality", "tiling",)
+MODULES = ("topk", "warc", "tokencount", "licenses", "neardup", "chat", "bpe", "quality", "sitetree", "tiling",)
 
 
 def _built():

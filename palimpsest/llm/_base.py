@@ -112,4 +112,4 @@ MOST_IDS = 4_000_000
 def by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi or anti join on ids; they are broadcast only when counted to be few enough."""
     ids = ids.select(F.col(ids.columns[0]).alias(id_col))
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, id_col, how)
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, id_col, how).select(*df.columns)

@@ -248,5 +248,20 @@ def components(
     )
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document, the smallest id, of each component; all columns stay.
+
+    Of rows that repeat an id one stays. Rows without an id stay.
+    """
+    store = Store(docs.sparkSession)
+    found = store.save(components(docs, n, percent, id_col=id_col).select("doc_id", "kept"))
+    gone = store.save(found.where("NOT kept").select("doc_id").distinct())
+    left = by_ids(docs, gone, id_col, "left_anti")
+    again = store.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return by_ids(left, again, id_col, "left_anti").unionByName(by_ids(left, again, id_col, "left_semi").dropDuplicates([id_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,5 +205,22 @@ def contaminations(
     return out
 
 
+def is_contaminated(benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> Column:
+    """A column: whether a text is contaminated by any item."""
+    spark = benchmark.sparkSession
+    flag = F.lit(False)
+    for rows in _blocks(benchmark, "item_id", "text", block_bytes):
+        sent = spark.sparkContext.broadcast(rows)
+
+        @F.pandas_udf("boolean")
+        def f(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
+            items = Items(sent.value, seed)
+            for s in texts:
+                yield pd.Series([any(m[1] >= coverage for m in items.covered(t)) for t in s], dtype=bool)
+
+        flag = flag | f(text_of(text_col))
+    return flag
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
