@@ -205,20 +205,21 @@ def contaminations(
     return out
 
 
+def _flag(sent, coverage: float, seed: int):
+    @F.pandas_udf("boolean")
+    def f(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = Items(sent.value, seed)
+        for s in texts:
+            yield pd.Series([any(m[1] >= coverage for m in items.covered(t)) for t in s], dtype=bool)
+
+    return f
+
+
 def is_contaminated(benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> Column:
     """A column: whether a text is contaminated by any item."""
-    spark = benchmark.sparkSession
     flag = F.lit(False)
     for rows in _blocks(benchmark, "item_id", "text", block_bytes):
-        sent = spark.sparkContext.broadcast(rows)
-
-        @F.pandas_udf("boolean")
-        def f(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            items = Items(sent.value, seed)
-            for s in texts:
-                yield pd.Series([any(m[1] >= coverage for m in items.covered(t)) for t in s], dtype=bool)
-
-        flag = flag | f(text_of(text_col))
+        flag = flag | _flag(benchmark.sparkSession.sparkContext.broadcast(rows), coverage, seed)(text_of(text_col))
     return flag
 
 
