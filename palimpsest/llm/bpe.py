@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -59,7 +60,7 @@ class Codec:
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.cache = Recent()
+        self.cache, self.parts = Recent(250_000), Recent(250_000)
 
     def encode_words(self, words: list[str]) -> list[tuple]:
         """Ids of each word, all words being merged together over one pair index."""
@@ -115,8 +116,11 @@ class Codec:
         """Ids of each word; the words that the cache lacks are encoded. A word may hold several pieces."""
         known, new = self.cache.look(words)
         cut = [self.pieces(w) for w in new]
-        ids = dict(zip(flat := list(dict.fromkeys(chain.from_iterable(cut))), self.encode_words(flat)))
-        found = {w: tuple(chain.from_iterable(map(ids.__getitem__, c))) for w, c in zip(new, cut)}
+        ids, fresh = self.parts.look(set(chain.from_iterable(cut)))
+        encoded = dict(zip(fresh, self.encode_words(fresh)))
+        self.parts.add(encoded)
+        ids |= encoded
+        found = {w: ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for w, c in zip(new, cut)}
         self.cache.add(found)
         return known | found
 
@@ -142,6 +146,12 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks of a worker: what it has learned serves the next task."""
+    return Codec(path)
+
+
 def encode(df: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row of ``df``.
 
@@ -150,7 +160,7 @@ def encode(df: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
     path = vocab_path or public_tokenizers.path(VOCAB)
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
         texts_of_ids = {i: str(i) for i in codec.bytes}
 
         def f(ids, texts):
@@ -174,7 +184,7 @@ def decode(df: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
     path = vocab_path or public_tokenizers.path(VOCAB)
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
         return lambda keys, ids: (keys, [codec.decode(i or ()) for i in ids])
 
     return map_rows(df, [F.col(id_col).cast("long"), F.col(ids_col)], make, f"{id_col} long, text string")
