@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from palimpsest.sources.model import record_schema
 
@@ -41,21 +42,18 @@ def ops(df: DataFrame, kind: str, seq: Column, **fields: Column) -> DataFrame:
 def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
     """The live records. Due hard deletes erase what was written before them; a later write
     survives. A supersede overwrites, a tombstone sets the end only where none is set."""
-    e = log.withColumn("place", F.struct("seq", "ordinal"))
-    o = F.col("op")
+    o, place = F.col("op"), F.struct("seq", "ordinal")
     due = (o["op"] == "hard_delete") & (F.lit(force) | (F.coalesce(o["deadline"], F.lit(0)) <= now))
-    base = e.groupBy("ns", "id").agg(
-        F.max_by("record", F.when(F.col("record").isNotNull(), F.col("place"))).alias("record"),
-        F.max(F.when(F.col("record").isNotNull(), F.col("place"))).alias("written"),
-        F.max(F.when(due, F.col("place"))).alias("erased"),
-    )
-    base = base.where(F.col("written").isNotNull() & (F.col("erased").isNull() | (F.col("erased") < F.col("written"))))
-    after = e.where(o.isNotNull()).join(base.select("ns", "id", "written"), ["ns", "id"]).where(F.col("place") > F.col("written"))
+    # One shuffle by id: the window and the aggregate share it.
+    w = Window.partitionBy("ns", "id")
+    e = log.withColumn("place", place).withColumn("written", F.max(F.when(F.col("record").isNotNull(), F.col("place"))).over(w)).withColumn("erased", F.max(F.when(due, F.col("place"))).over(w))
+    e = e.where((F.col("place") >= F.col("written")) & (F.col("erased").isNull() | (F.col("erased") < F.col("written"))))
     self_made = F.coalesce(o["new"] == F.col("id"), F.lit(False))
     sup, tomb, quar = (o["op"] == "supersede") & ~self_made, o["op"] == "tombstone", o["op"] == "quarantine"
     last = lambda what, when: F.max_by(F.struct(what.alias("v")), F.when(when, F.col("place")))["v"]
     first = lambda what, when: F.min_by(F.struct(what.alias("v")), F.when(when, F.col("place")))["v"]
-    late = after.groupBy("ns", "id").agg(
+    state = e.groupBy("ns", "id").agg(
+        F.first("record", ignorenulls=True).alias("record"),
         last(F.coalesce(o["at"], F.lit(now)), sup).alias("sup_at"),
         last(o["new"], sup).alias("sup_new"),
         F.max(sup).alias("sup"),
@@ -64,8 +62,7 @@ def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
         last(F.coalesce(o["flag"], F.lit(True)), quar).alias("flag"),
         last(o["expires"], quar & F.coalesce(o["flag"], F.lit(True))).alias("expires"),
     )
-    r = base.select(*[F.col(f"record.{f.name}").alias(f.name) for f in record_schema()])
-    r = r.join(late, ["ns", "id"], "left")
+    r = state.select(*[F.col(f"record.{f.name}").alias(f.name) for f in record_schema()], *[c for c in state.columns if c not in ("ns", "id", "record")])
     gone = F.col("deleted") | F.coalesce("tomb", F.lit(False))
     lapsed = F.coalesce(F.col("expires") <= now, F.lit(False))
     quarantined = F.coalesce("flag", "quarantined") & ~lapsed
