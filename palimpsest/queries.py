@@ -392,6 +392,21 @@ def _session_items(s, d) -> DataFrame:
     return picked.select(*cols, F.col("n").alias("place")).unionByName(r.join(near, "id").select(*cols, F.lit(None).cast("int").alias("place")))
 
 
+def _gated_items(s, d) -> DataFrame:
+    """A query per user: all turns of the user, judged by a stub (how much of a text is new words)."""
+    r = model.messages(s, d).where(visible(Filter(now=NOW)) & F.col("scope_user").isNotNull())
+    w = Window.partitionBy("prov_session").orderBy("t_event", "ingest_seq")
+    cost = (T.count_tokens(F.col("content")) + 1).alias("cost")
+    r = r.withColumn("me", F.struct("id", cost))
+    r = r.withColumn("near", F.filter(F.array(F.lag("me").over(w), F.lead("me").over(w)), lambda x: x.isNotNull()))
+    ws = T.tokens(F.col("content"))
+    r = r.withColumn("p", F.round(F.size(F.array_distinct(ws)) / F.greatest(F.size(ws), F.lit(1)), 6)).withColumn("query_id", F.substring("scope_user", 2, 9).cast("long"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("p"), "id")
+    # A query packs what fusion passes on, 40 candidates: the limit is the feature.
+    return r.withColumn("place", F.row_number().over(best)).where("place <= 40").select("query_id", "place", "id", "p", "me.cost", F.col("prov_session").alias("session"), "near")
+
+
+query("pack_gated")(lambda s, d: packing.gated(_gated_items(s, d), 600, 0.9))
 query("pack_sessions")(lambda s, d: packing.sessions(_session_items(s, d), 2000))
 simple("render_item", lambda r: r.select("id", T.render_item(fenced()).alias("text")),
        f"""WITH {REC}, e AS (SELECT *, replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body,

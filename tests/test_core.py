@@ -131,6 +131,13 @@ def test_session_packing_never_exceeds_its_budget():
             assert {p["id"] for p in picked} <= set(ids)
 
 
+def test_gated_packing(spark):
+    rows = [(1, 1, "a", 0.9, 20, "s", [("b", 10)]), (1, 2, "b", 0.8, 10, "s", []), (1, 3, "c", 0.7, 500, "t", []), (1, 4, "d", 0.1, 5, "t", []), (2, 1, "x", 0.2, 5, "u", [("y", 9999)])]
+    df = spark.createDataFrame(rows, "query_id long, place long, id string, p double, cost long, session string, near array<struct<id: string, cost: long>>")
+    got = {r.query_id: (list(r.kept), r.truncated) for r in packing.gated(df, 200, 0.5).collect()}
+    assert got == {1: (["a", "b"], True), 2: (["x"], True)}
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
