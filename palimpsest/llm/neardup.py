@@ -10,7 +10,7 @@ confirmed on full sets. Groups of copies are never expanded into all pairs:
 2. in buckets that still hold several components, what is outside the largest one is compared
    with some members of it;
 3. what is still apart is compared with every member of its buckets that is in another
-   component. So every candidate pair is either confirmed, refuted, or inside one component.
+   component, unless their parity sketches show that too few elements can be in common. So every candidate pair is confirmed, refuted, or inside one component.
 
 A link of the threshold itself is missed with probability (1 - t**rows)**bands: 7e-8 at 0.85.
 
@@ -33,6 +33,8 @@ from palimpsest.llm._base import Store, by_ids, map_rows, table, text_of
 NAME = "op5_near_duplicates"
 WORDS, PERCENT = 3, 85
 BANDS, ROWS = 28, 5
+#: 64-bit words of a set's parity sketch.
+SKETCH = 16
 
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -119,13 +121,27 @@ def signatures(df: DataFrame, id_col: Column, n: int, bands: int, rows: int) ->
     return map_rows(df, [id_col.cast("long").alias("doc_id"), text_of()], make, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """A bit per cell: whether an odd number of elements falls into it.
+
+    Two sketches differ in at most as many bits as the sets have elements not in common.
+    """
+    odd = np.bincount((items & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(df: DataFrame, n: int) -> DataFrame:
-    """(id, items) for rows (id, text)."""
+    """(id, items, sketch) for rows (id, text)."""
 
     def make():
-        return lambda ids, texts: (ids, pa.array([shingles(t, n).view(np.int64) for t in texts], pa.list_(pa.int64())))
+        def f(ids, texts):
+            sets = [shingles(t, n) for t in texts]
+            many = lambda rows: pa.array(rows, pa.list_(pa.int64()))
+            return ids, many([s.view(np.int64) for s in sets]), many([parity(s) for s in sets])
+
+        return f
 
-    return map_rows(df, ["id", "text"], make, "id long, items array<long>")
+    return map_rows(df, ["id", "text"], make, "id long, items array<long>, sketch array<long>")
 
 
 def _local_forest(edges: DataFrame) -> DataFrame:
@@ -212,7 +228,7 @@ def components(
     members = store.save(exploded.join(heads, "bucket").distinct())
     ids = store.save(members.select("id").distinct())
     texts = by_ids(docs.select(key_col.alias("id"), text_of()), ids, "id", "left_semi")
-    sets = store.save(shingle_sets(texts, n).groupBy("id").agg(F.min("items").alias("items")))
+    sets = store.save(shingle_sets(texts, n).groupBy("id").agg(F.min(F.struct("items", "sketch")).alias("s")).select("id", "s.*"))
 
     stars = members.where(F.col("id") != F.col("head.id")).where(_near("n", "head.n", percent))
     stars = stars.groupBy("id", F.col("head.id").alias("center")).agg(F.count("*").alias("shared"))
@@ -230,8 +246,13 @@ def components(
 
         mixed = _mixed(store, mixed, roots)
         if not mixed.isEmpty():
-            other = mixed.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+            mixed = store.save(mixed.join(sets.select("id", "sketch"), "id"))
+            other = mixed.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"), F.col("comp").alias("other"))
             pairs = mixed.withColumnRenamed("id", "a").join(other, "bucket").where("comp < other").where(_near("n", "m", percent))
+            # No more elements are in common than the sketches allow; most pairs end here.
+            apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("other_sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+            both = F.col("n") + F.col("m")
+            pairs = pairs.where((both - apart) * (100 + percent) >= both * (2 * percent))
             pairs = store.save(pairs.select("a", "b").distinct())
             roots = connected(store, roots.unionByName(_confirmed(pairs, sets, percent)))
 
