@@ -51,7 +51,7 @@ fact AS (SELECT printf('e%09d', event_id) AS id, 'fact' AS kind, 'user ' || user
   next_at AS invalidated_at, CASE WHEN next_id IS NOT NULL THEN printf('e%09d', next_id) END AS superseded_by,
   [event_type || '.u' || user_id] AS entity_keys, false AS quarantined, false AS deleted, event_id + 1000000000 AS ingest_seq FROM ev)"""
 REC = f"{MSG}, {FACT}, rec AS (SELECT * FROM msg UNION ALL SELECT * FROM fact)"
-VEC = "vec AS (SELECT printf('e%09d', vec_id) AS id, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'new' END AS model, CAST(embedding AS DOUBLE[]) AS vec, vec_id FROM embeddings)"
+VEC = "vec AS (SELECT CASE WHEN vec_id % 2 = 0 THEN printf('e%09d', vec_id) ELSE printf('c%06d-%04d', vec_id // 5, vec_id % 5) END AS id, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'new' END AS model, CAST(embedding AS DOUBLE[]) AS vec, vec_id FROM embeddings)"
 LIVE = "NOT deleted AND invalidated_at IS NULL AND superseded_by IS NULL"
 VALID = f"({LIVE} AND (valid_from IS NULL OR valid_from <= {NOW}))"
 MINE = f"({VALID} AND (scope_user IS NULL OR scope_user = 'u3') AND (scope_session IS NULL OR scope_user IS NOT NULL) AND NOT quarantined)"
@@ -236,13 +236,13 @@ query("left_join_missing", f"WITH {REC}, {VEC} SELECT rec.id, CAST(length(conten
 simple("semi_entity", lambda r: r.join(r.select("id", F.explode("entity_keys").alias("k")).where("k LIKE 'click.%'").select("id"), "id", "left_semi").select("id"), f"WITH {REC} SELECT id FROM rec WHERE entity_keys[1] LIKE 'click.%'")
 
 
-@query("link_expand", f"""WITH {REC}, l AS (SELECT id AS src, superseded_by AS dst FROM rec WHERE superseded_by IS NOT NULL), s AS (SELECT id FROM rec WHERE kind = 'fact' AND content LIKE '%signup%'),
+@query("link_expand", f"""WITH {REC}, l AS (SELECT id AS src, superseded_by AS dst FROM rec WHERE superseded_by IS NOT NULL), s AS (SELECT id FROM rec WHERE kind = 'fact' AND content LIKE '%signup%' AND source = 1),
   r AS (SELECT dst AS id FROM l WHERE src IN (SELECT id FROM s) UNION SELECT src FROM l WHERE dst IN (SELECT id FROM s))
   SELECT id FROM rec WHERE NOT deleted AND id IN (SELECT id FROM r) AND id NOT IN (SELECT id FROM s)""")
 def link_expand(s, d):
     r = model.records(s, d)
     links = r.where("superseded_by IS NOT NULL").select(F.col("id").alias("src"), F.col("superseded_by").alias("dst"))
-    return scans.expand(r, links, r.where("kind = 'fact' AND content LIKE '%signup%'")).select("id")
+    return scans.expand(r, links, r.where("kind = 'fact' AND content LIKE '%signup%' AND source = 1")).select("id")
 
 
 _turns = f"t AS (SELECT id, scope_session, t_event, ingest_seq, ({VALID} AND NOT quarantined) AS shown FROM rec WHERE kind = 'raw_event' AND scope_session IS NOT NULL)"

@@ -103,9 +103,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, dim, model, vec) of the fact with the same number."""
+    """(id, dim, model, vec): even numbers belong to the fact so numbered, odd ones to a message."""
+    n = F.col("vec_id")
+    message = F.format_string("c%06d-%04d", F.floor(n / 5), n % 5)
     return table(spark, sf_dir, "embeddings").select(
-        F.format_string("e%09d", "vec_id").alias("id"),
+        F.when(n % 2 == 0, F.format_string("e%09d", n)).otherwise(message).alias("id"),
         F.size("embedding").cast("long").alias("dim"),
         F.when(F.col("vec_id") % 5 == 0, "old").otherwise("new").alias("model"),
         F.col("embedding").cast("array<double>").alias("vec"),
