@@ -16,6 +16,8 @@ RRF_K, TRUST = 60, 0.01
 KIND_BONUS = (("fact", 1.15), ("summary", 1.05), ("pin", 1.2))
 HALF_LIFE_DAYS, FACT_BOOST = 365.0, 1.25
 STRONG_COSINE, FLOOR_MARGIN, FLOOR_LEAST = 0.35, 0.1, 5
+# Hits of a lane in a sweep, which must see every match.
+SWEEP_LIMIT = 10_000
 
 
 def fuse(lanes: dict[str, DataFrame], queries: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:

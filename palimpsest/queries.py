@@ -346,9 +346,17 @@ query("gate_candidates", f"WITH {BM25}, {JUDGED}, g AS (SELECT *, max(p) OVER (P
     lambda s, d: fusion.gate(_judged(s, d), 0.5).select("query_id", "id", "p"))
 SWEEP = """floor AS (SELECT query_id, CASE WHEN count(*) >= 5 THEN greatest(0.35, quantile_cont(score, 0.5) + 0.1) ELSE 0.35 END AS floor FROM vector GROUP BY 1),
 sweep AS (SELECT query_id, id FROM bm25 UNION SELECT query_id, id FROM entity UNION SELECT vector.query_id, id FROM vector JOIN floor USING (query_id) WHERE score >= floor)"""
-query("find_ids", f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT CAST(query_id AS INTEGER) AS query_id, id FROM sweep")(lambda s, d: fusion.sweep(_lanes(s, d)))
+
+
+def _sweep(s, d) -> DataFrame:
+    """What a delete by query matches: lanes at the sweep's limit, not at that of a search."""
+    r, q, k = model.records(s, d), searches(s), fusion.SWEEP_LIMIT
+    return fusion.sweep({"bm25": lanes.bm25(r, q, ME, k), "entity": lanes.entity(r, q, ME, k), "vector": lanes.vector(r, model.vectors(s, d), _vector_queries(s, d), ME, k)})
+
+
+query("find_ids", f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT CAST(query_id AS INTEGER) AS query_id, id FROM sweep")(_sweep)
 query("forget_fingerprint", f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id))[1:32] AS fingerprint FROM sweep GROUP BY 1")(
-    lambda s, d: fusion.fingerprint(fusion.sweep(_lanes(s, d))))
+    lambda s, d: fusion.fingerprint(_sweep(s, d)))
 
 # packing ---------------------------------------------------------------------------------
 
