@@ -115,7 +115,8 @@ WAYS = (
 
 
 def keyword(pattern: str) -> bytes:
-    """The longest literal that every match holds."""
+    """The longest literal that every match holds. What a lookahead names is not in the match."""
+    pattern = re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "\0", pattern)
     plain = re.sub(r"\([^()]*\)[?*]?|\(\?:[^()]*\)|\[[^]]*\]\??|\.\{[^}]*\}\??", "\0", pattern)
     return max(plain.split("\0"), key=len).strip().encode()
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import os
+import re
 
 import duckdb
 import pytest
 
+from palimpsest.llm import licenses
 from palimpsest.queries import BM25, ENT, QUERIES, SWEEP, VECTOR
 
 SF = "/root/testdata/sf0.01"
@@ -32,3 +34,25 @@ def test_sweep_sees_more_than_a_search(spark, con):
     assert {q: sorted(i) for q, i in got.items()} == {q: sorted(i) for q, i in want.items()}
     marks = {r.query_id: (r.n, r.fingerprint) for r in QUERIES["forget_fingerprint"](spark, SF).collect()}
     assert marks == {q: (len(i), hashlib.sha256("\n".join(sorted(i)).encode()).hexdigest()[:32]) for q, i in want.items()}
+
+
+def sample(pattern: str, options: bool) -> str:
+    """A text that the pattern of a licence rule matches, with or without what is optional."""
+    p = re.sub(r"\(\?!.*?\)\)", "", pattern)
+    p = re.sub(r"\(\?:([^()|]*)[^()]*\)\?", r"\1" if options else "", p)
+    p = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", p)
+    return re.sub(r"\.\{[^}]*\}\?", "some one", re.sub(r"\[(.)[^]]*\]", r"\1", p))
+
+
+@pytest.mark.parametrize("options", [False, True])
+def test_every_license_rule_runs(options):
+    signatures = licenses.rules()
+    for rule, *_, key, rx in signatures:
+        text = sample(rx.pattern.decode().removeprefix("(?<![^ ])(?:").removesuffix(")(?![^ ])"), options)
+        assert re.fullmatch(rb"[a-z0-9]+( [a-z0-9]+)*", key), rule
+        assert rule in {d[0] for d in licenses.detect(licenses.line_of(text), signatures)}, (rule, text)
+
+
+def test_license_non_commercial_part_is_kept():
+    for text, label in (("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("cc by nc", "cc-by-nc"), ("CC-BY 4.0", "cc-by"), ("cc by nc sa", "cc-by-nc-sa")):
+        assert {d[1] for d in licenses.detect(licenses.line_of(text), licenses.rules()) if d[6]} == {label}
