@@ -79,6 +79,18 @@ def pending(log: DataFrame, now: int) -> DataFrame:
     return log.where((F.col("op.op") == "hard_delete") & (F.col("op.deadline") > now))
 
 
+def carry(log: DataFrame, now: int) -> DataFrame:
+    """A checkpoint of a log: folded with what came after, at ``now`` or later, it equals the whole.
+
+    Live records are writes at the place of their last one. With them go the mutations since then
+    that time has yet to settle: hard deletes not due, and quarantines, which can expire.
+    """
+    written = log.where(F.col("record").isNotNull()).groupBy("ns", "id").agg(F.max(F.struct("seq", "ordinal")).alias("written"))
+    live = fold(log, now).join(written, ["ns", "id"])
+    later = log.where(F.col("op.op") == "quarantine").unionByName(pending(log, now)).join(written, ["ns", "id"]).where(F.struct("seq", "ordinal") > F.col("written"))
+    return writes(live, F.col("written.seq")).unionByName(later.select(*log.columns))
+
+
 def export(records: DataFrame, log: DataFrame, now: int) -> DataFrame:
     """Lines of JSON, oldest ingestion first: what is neither deleted nor about to be erased."""
     kept = records.join(pending(log, now).select("ns", "id"), ["ns", "id"], "left_anti").where(~F.col("deleted"))

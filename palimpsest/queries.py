@@ -142,8 +142,12 @@ def merge_events(s, d):
 
 @query("replay_cut", f"WITH {FACT} {_folded}")
 def replay_cut(s, d):
-    """A checkpoint in mid-log, then the rest: pending ops carried on; equals the fold from scratch."""
-    return fold.fold(_log(s, d).repartition("id"), NOW).select("id", "superseded_by", "invalidated_at", "quarantined")
+    """A checkpoint in mid-log, made before the deletes and quarantines run out, then the rest:
+    pending ops carried on; equals the fold from scratch."""
+    log = _log(s, d)
+    log = log.crossJoin(F.broadcast(log.agg((F.max("seq") / 2).alias("cut"))))
+    first, rest = [log.where(part).drop("cut") for part in ("seq <= cut", "seq > cut")]
+    return fold.fold(fold.carry(first, NOW - 10).unionByName(rest), NOW).select("id", "superseded_by", "invalidated_at", "quarantined")
 
 
 @query("compact_forced", f"WITH {FACT} SELECT id FROM fact WHERE NOT ({_n} % 19 = 0 AND NOT {_again}) AND NOT ({_n} % 17 = 0 AND NOT {_again})")

@@ -2,14 +2,18 @@
 
 import hashlib
 import os
+import random
 import re
 
 import duckdb
 import pytest
 
 from palimpsest.llm import licenses
+from palimpsest.operators import fold
 from palimpsest.queries import BM25, ENT, QUERIES, SWEEP, VECTOR
 
+from tests.test_core import NOW, log_of, plain_fold
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -56,3 +60,32 @@ def test_every_license_rule_runs(options):
 def test_license_non_commercial_part_is_kept():
     for text, label in (("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("cc by nc", "cc-by-nc"), ("CC-BY 4.0", "cc-by"), ("cc by nc sa", "cc-by-nc-sa")):
         assert {d[1] for d in licenses.detect(licenses.line_of(text), licenses.rules()) if d[6]} == {label}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_checkpoint_and_rest_equal_the_whole(spark, seed):
+    """At NOW - 2 no delete is due and no quarantine has expired; at NOW half of them have."""
+    r = random.Random(seed)
+    events = []
+    for seq in range(1, 50):
+        i = f"r{r.randint(0, 6)}"
+        if seq < 8 or r.random() < 0.2:
+            events.append({"seq": seq, "ordinal": 0, "id": i, "write": True, "op": None})
+            continue
+        kind = r.choice(["hard_delete", "tombstone", "supersede", "quarantine", "quarantine"])
+        op = {"op": kind, "at": NOW + seq, "new": f"r{r.randint(0, 6)}", "deadline": NOW + r.choice([-1, 1, 1]), "flag": r.random() < 0.7, "expires": NOW + r.choice([-1, 1])}
+        events.append({"seq": seq, "ordinal": 1, "id": i, "write": False, "op": op})
+    log = log_of(spark, events).localCheckpoint()
+    for cut in (12, 25, 40):
+        first = fold.carry(log.where(f"seq <= {cut}"), NOW - 2)
+        got = fold.fold(first.unionByName(log.where(f"seq > {cut}")), NOW).collect()
+        assert {x.id: (x.invalidated_at, x.superseded_by, x.quarantined) for x in got} == plain_fold(events, NOW)
+
+
+def test_replay_carries_what_is_pending(spark, monkeypatch):
+    """Without the ops that the checkpoint carries, the query must lose its deletes and expiries."""
+    whole = {tuple(r) for r in QUERIES["replay_cut"](spark, SF).collect()}
+    assert whole == {tuple(r) for r in QUERIES["fold_events"](spark, SF).collect()}
+    carry = fold.carry
+    monkeypatch.setattr(fold, "carry", lambda log, now: carry(log, now).where("op IS NULL"))
+    assert {tuple(r) for r in QUERIES["replay_cut"](spark, SF).collect()} != whole
