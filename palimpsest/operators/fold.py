@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from palimpsest.llm._base import checkpointer
 from palimpsest.sources.model import record_schema
 
 OP = "op string, id string, new string, at long, deadline long, flag boolean, expires long"
@@ -97,23 +98,17 @@ def export(records: DataFrame, log: DataFrame, now: int) -> DataFrame:
     return kept.select("t_ingested", "id", F.to_json(F.struct(*[f.name for f in record_schema()])).alias("line"))
 
 
-def history(records: DataFrame, start: str, depth: int = 64) -> DataFrame:
-    """The chain of a record in both directions, found breadth first; cycles end it."""
-    edges = records.where("superseded_by IS NOT NULL").select(F.col("id").alias("a"), F.col("superseded_by").alias("b"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def history(records: DataFrame, start: str) -> DataFrame:
+    """The chain of a record in both directions, found breadth first until nothing is new."""
     spark = records.sparkSession
-    seen = spark.createDataFrame([(start,)], "id string")
-    front = seen
-    for _ in range(depth):
-        front = _cut(both, front, seen)
-        if not front:
-            break
-        seen = spark.createDataFrame([(i,) for i in front], "id string").unionByName(seen)
-        front = spark.createDataFrame([(i,) for i in front], "id string")
-    return records.join(F.broadcast(seen), "id", "left_semi")
-
-
-def _cut(both: DataFrame, front: DataFrame, seen: DataFrame) -> list[str]:
-    """The next ids of one chain; a chain has as many as one fact has versions."""
-    step = both.join(F.broadcast(front.withColumnRenamed("id", "a")), "a").select(F.col("b").alias("id")).distinct()
-    return [r.id for r in step.join(F.broadcast(seen), "id", "left_anti").collect()]
+    checkpointer(spark)
+    edges = records.where("superseded_by IS NOT NULL").select(F.col("id").alias("a"), F.col("superseded_by").alias("b"))
+    # Written once: each step reads two columns of ids, not the records.
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    names = lambda ids, name: F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], f"{name} string"))
+    seen = front = {start}
+    while front:
+        front = {r.b for r in both.join(names(front, "a"), "a").select("b").distinct().collect()} - seen
+        seen = seen | front
+    # A chain has as many ids as one fact has versions.
+    return records.join(names(seen, "id"), "id", "left_semi")

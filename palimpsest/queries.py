@@ -546,15 +546,7 @@ query("session_taint", f"WITH {MSG} SELECT id, min(source) OVER (PARTITION BY pr
 query("failure_limiter", f"WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS at_ms FROM events WHERE event_type = 'error'), a AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW) AS recent FROM e) SELECT event_id, recent, recent > 2 AS blocked FROM a")(
     lambda s, d: policy.failures(_usage(s, d).where("meter = 'error'"), "user_id", "at", 24 * HOUR, 2).select("event_id", "recent", "blocked"))
 query("history", f"""WITH RECURSIVE {FACT}, h AS (SELECT 'e000000011' AS id UNION SELECT CASE WHEN f.id = h.id THEN f.superseded_by ELSE f.id END FROM h JOIN fact f ON (f.id = h.id AND f.superseded_by IS NOT NULL) OR f.superseded_by = h.id) SELECT id, t_ingested FROM fact WHERE id IN (SELECT id FROM h)""")(
-    lambda s, d: _history(s, d))
-
-
-def _history(s, d) -> DataFrame:
-    """All chains at once: a fact's chain is its key, so the whole history is one window, not a walk."""
-    f = model.facts(s, d).withColumn("key", F.struct(F.col("content").substr(1, 0), F.get("entity_keys", F.lit(0))))
-    chain = f.where("id = 'e000000011'").select("key")
-    return f.join(F.broadcast(chain), "key", "left_semi").select("id", "t_ingested")
-
+    lambda s, d: fold.history(model.facts(s, d), "e000000011").select("id", "t_ingested"))
 
 # evaluation ------------------------------------------------------------------------------
 

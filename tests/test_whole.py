@@ -12,7 +12,7 @@ from palimpsest.llm import licenses
 from palimpsest.operators import fold
 from palimpsest.queries import BM25, ENT, QUERIES, SWEEP, VECTOR
 
-from tests.test_core import NOW, log_of, plain_fold
+from tests.test_core import NOW, log_of, plain_fold, record, records
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +89,19 @@ def test_replay_carries_what_is_pending(spark, monkeypatch):
     carry = fold.carry
     monkeypatch.setattr(fold, "carry", lambda log, now: carry(log, now).where("op IS NULL"))
     assert {tuple(r) for r in QUERIES["replay_cut"](spark, SF).collect()} != whole
+
+
+def test_history_walks_the_whole_chain(spark):
+    """70 versions on one side of the seed, two facts merged into one, a cycle, and a key that another chain shares."""
+    chain = {f"v{i:02}": f"v{i + 1:02}" for i in range(70)} | {"v70": None, "twin": "v01", "c1": "c2", "c2": "c1", "w1": "w2", "w2": None}
+    r = records(spark, *[record(id=i, superseded_by=n, entity_keys=["k"]) for i, n in chain.items()]).localCheckpoint()
+    ids = lambda start: {x.id for x in fold.history(r, start).collect()}
+    assert ids("v70") == {f"v{i:02}" for i in range(71)} | {"twin"}
+    assert ids("c1") == {"c1", "c2"} and ids("w1") == {"w1", "w2"} and ids("none") == set()
+
+
+def test_history_query_walks(spark, monkeypatch):
+    asked = []
+    walk = fold.history
+    monkeypatch.setattr(fold, "history", lambda r, start: asked.append(start) or walk(r, start))
+    assert QUERIES["history"](spark, SF).count() == 9 and asked == ["e000000011"]
