@@ -333,7 +333,8 @@ query("rank_for_packing", f"""WITH {FUSED}, f2 AS (SELECT *, max(t_event) OVER (
 
 
 def _judged(s, d) -> DataFrame:
-    """The shortlist, best of BM25 then vector, judged by a stub: the share of query terms a text holds."""
+    """The shortlist, the 30 best of BM25 alone, judged by a stub: the share of query terms a text holds.
+    Vector hits that BM25 lacks are not added, and so never judged; the SQL has none either."""
     ls = _lanes(s, d)
     short = ls["bm25"].where("rank <= 30").select("query_id", "id", "rank")
     r = model.records(s, d).select("id", "content")
