@@ -131,14 +131,16 @@ def export_warc(spark: SparkSession, path: str, out: str) -> None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc"
     write_archive(table(spark, sf_dir, "pages"), path)
-    digests = read_payloads(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    same = F.col("payload_digest") == F.col("named_digest")
-    return (
-        read_headers(spark, path)
-        .join(digests, "address")
-        .where(F.when(same, True).otherwise(F.raise_error(F.lit("a header names another digest than its payload has"))))
-        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = read_archive(spark, path).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    block = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    faults = (
+        (F.col("payload_digest") == F.col("named_digest"), "a header names another digest than its payload has"),
+        (F.length("record") == F.octet_length("header") + block + 2 * len(ENDS), "a record is not as long as its parts"),
+        (F.regexp_extract("header", "\r\nContent-Length: ([0-9]+)\r\n", 1) == block.cast("string"), "a header names another length than its record has"),
     )
+    for fine, why in faults:
+        whole = whole.where(F.when(fine, True).otherwise(F.raise_error(F.lit(why))))
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

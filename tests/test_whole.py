@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from palimpsest.llm import licenses
+from palimpsest.llm import licenses, warc
 from palimpsest.operators import fold
 from palimpsest.queries import BM25, ENT, QUERIES, SWEEP, VECTOR
 
@@ -105,3 +105,15 @@ def test_history_query_walks(spark, monkeypatch):
     walk = fold.history
     monkeypatch.setattr(fold, "history", lambda r, start: asked.append(start) or walk(r, start))
     assert QUERIES["history"](spark, SF).count() == 9 and asked == ["e000000011"]
+
+
+def test_archive_query_reads_whole_records(spark, monkeypatch):
+    small = SF.replace("0.01", "0.001")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{small}/pages.parquet'")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert {tuple(r) for r in warc.query(spark, small).select(*cols).collect()} == set(c.execute(f"SELECT {', '.join(cols)} FROM ({warc.ORACLE})").fetchall())
+    read = warc.read_archive
+    monkeypatch.setattr(warc, "read_archive", lambda *a: read(*a).selectExpr("* EXCEPT (record)", "substring(record, 2) AS record"))
+    with pytest.raises(Exception, match="not as long"):
+        warc.query(spark, small).collect()
