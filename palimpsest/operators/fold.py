@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from palimpsest.llm._base import checkpointer
+from palimpsest.operators.graph import connected
 from palimpsest.sources.model import record_schema
+from palimpsest.sources.store import Store
 
 OP = "op string, id string, new string, at long, deadline long, flag boolean, expires long"
 
@@ -98,17 +99,17 @@ def export(records: DataFrame, log: DataFrame, now: int) -> DataFrame:
     return kept.select("t_ingested", "id", F.to_json(F.struct(*[f.name for f in record_schema()])).alias("line"))
 
 
-def history(records: DataFrame, start: str) -> DataFrame:
-    """The chain of a record in both directions, found breadth first until nothing is new."""
-    spark = records.sparkSession
-    checkpointer(spark)
+def history(records: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, records): all versions of each start's chain, in both directions.
+
+    ``starts`` has ids in ``start``. A start that nothing supersedes and that supersedes nothing is
+    alone. Chains may be of any length, merge or run in a circle: they are components of the
+    supersedence edges.
+    """
+    store = Store(records.sparkSession)
     edges = records.where("superseded_by IS NOT NULL").select(F.col("id").alias("a"), F.col("superseded_by").alias("b"))
-    # Written once: each step reads two columns of ids, not the records.
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    names = lambda ids, name: F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], f"{name} string"))
-    seen = front = {start}
-    while front:
-        front = {r.b for r in both.join(names(front, "a"), "a").select("b").distinct().collect()} - seen
-        seen = seen | front
-    # A chain has as many ids as one fact has versions.
-    return records.join(names(seen, "id"), "id", "left_semi")
+    roots = connected(store, edges)
+    asked = starts.select("start").distinct().join(roots.select(F.col("a").alias("start"), F.col("b").alias("root")), "start", "left")
+    asked = asked.select("start", F.coalesce("root", "start").alias("root"))
+    members = records.select("id").join(roots.withColumnsRenamed({"a": "id", "b": "root"}), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return members.join(asked, "root").select("start", "id").join(records, "id")

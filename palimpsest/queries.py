@@ -546,8 +546,10 @@ query("quarantine_expiry", f"WITH {FACT} SELECT id, t_ingested + {policy.EXPIRY_
 query("session_taint", f"WITH {MSG} SELECT id, min(source) OVER (PARTITION BY prov_session ORDER BY t_event, id ROWS UNBOUNDED PRECEDING) AS taint FROM msg")(lambda s, d: policy.taint(model.messages(s, d)).select("id", "taint"))
 query("failure_limiter", f"WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS at_ms FROM events WHERE event_type = 'error'), a AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW) AS recent FROM e) SELECT event_id, recent, recent > 2 AS blocked FROM a")(
     lambda s, d: policy.failures(_usage(s, d).where("meter = 'error'"), "user_id", "at", 24 * HOUR, 2).select("event_id", "recent", "blocked"))
-query("history", f"""WITH RECURSIVE {FACT}, h AS (SELECT 'e000000011' AS id UNION SELECT CASE WHEN f.id = h.id THEN f.superseded_by ELSE f.id END FROM h JOIN fact f ON (f.id = h.id AND f.superseded_by IS NOT NULL) OR f.superseded_by = h.id) SELECT id, t_ingested FROM fact WHERE id IN (SELECT id FROM h)""")(
-    lambda s, d: fold.history(model.facts(s, d), "e000000011").select("id", "t_ingested"))
+_STARTS = (11, 12, 500, 777)
+query("history", f"""WITH RECURSIVE {FACT}, s AS (SELECT unnest([{", ".join(f"'e{i:09d}'" for i in _STARTS)}]) AS start), h AS (SELECT start, start AS id FROM s WHERE start IN (SELECT id FROM fact)
+  UNION SELECT h.start, CASE WHEN f.id = h.id THEN f.superseded_by ELSE f.id END FROM h JOIN fact f ON (f.id = h.id AND f.superseded_by IS NOT NULL) OR f.superseded_by = h.id) SELECT start, id, t_ingested FROM h JOIN fact USING (id)""")(
+    lambda s, d: fold.history(model.facts(s, d), s.createDataFrame([(f"e{i:09d}",) for i in _STARTS], "start string")).select("start", "id", "t_ingested"))
 
 # evaluation ------------------------------------------------------------------------------
 
