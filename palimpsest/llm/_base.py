@@ -1,8 +1,7 @@
-"""What the operators share: reading a table, Arrow mapping, caches, shared folders."""
+"""What the operators share: reading a table, Arrow mapping, caches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,14 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from palimpsest.sources.model import table  # noqa: F401
+
 #: Rows handed to Python at once. Texts of a million characters then still fit a worker.
 ROWS_AT_ONCE = 256
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def map_rows(
     df: DataFrame,
     columns: list,
@@ -45,22 +42,6 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor can reach.
-
-    Only where the setting is empty (a single-machine session) is one chosen here.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def checkpointer(spark: SparkSession) -> None:
-    """Let checkpoint() work: use the cluster's folder, or one of our own if none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-
-
 def text_of(column: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
@@ -92,21 +73,8 @@ class Recent:
             self.old, self.new = self.new, {}
 
 
-class Store:
-    """Written tables in one shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.n = spark, shared_dir(spark), 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.path}/{self.n:03d}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
-#: Most ids that are broadcast; at 8 bytes each that is 32 MB.
-MOST_IDS = 4_000_000
+#: Most ids that are broadcast: hashed, at about 32 bytes each, that is 32 MB.
+MOST_IDS = 1_000_000
 
 
 def by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:

@@ -7,12 +7,15 @@ by the log of the number of pages; what looks the same on every page scores 0, w
 each scores 1. Branches of low importance are removed from each page, and the remaining blocks
 are its main text.
 
-Entropy alone would drop an article that a site repeats and keep adverts that change, so the
-page's own marks come first: elements that say they are menus, adverts, forms, comments and so
-on go, and what an ``article`` or ``main`` element holds is kept from removal by entropy.
+Entropy alone would drop an article that a site repeats and keep adverts that change, so marks
+count too. Elements that say they are menus, adverts, forms, comments and so on go. What an
+``article`` or ``main`` holds is measured against that element's own importance, so that a
+repeated article stays while a box that is alike in all articles goes; its headings and
+paragraphs stay.
 
 A null page is empty and gives an empty text; pages without a host share one tree. Repeated
-rows are extracted each by itself and counted each in the tree.
+rows are extracted each by itself and counted each in the tree. Elements nested deeper than
+``DEEPEST`` become siblings, as in browsers; their text stays. Time is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._base import MOST_IDS, Store, map_rows, table, text_of
+from palimpsest.llm._base import map_rows, table, text_of
+from palimpsest.sources.store import Store
 
 NAME = "op9_html_extraction"
 #: A branch goes if its importance is below LOW on a site with LEAST_PAGES pages that have it.
 LOW, LEAST_PAGES = 0.3, 8
 #: The share of content in a node's importance; the rest is presentation.
 CONTENT = 0.9
+DEEPEST = 512
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -54,6 +59,8 @@ GONE = frozenset(
     "audio video dialog menu xmp noembed noframes map embed".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Inside a main element only such elements may go: boxes, not its headings and paragraphs.
+BOX = frozenset("div section ul ol dl table figure details fieldset center span".split())
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter "
@@ -63,26 +70,63 @@ NOISE = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "main", "kids")
+    """An element: its path, the path of the main element around it, and what its marks say."""
 
-    def __init__(self, tag: str, path: int, drop: bool, main: bool):
-        self.tag, self.path, self.drop, self.main, self.kids = tag, path, drop, main, []
+    __slots__ = ("tag", "path", "drop", "main", "within", "box", "kids")
+
+    def __init__(self, tag: str, path: int, drop: bool, main: bool, within: int = 0, box: bool = False):
+        self.tag, self.path, self.drop, self.main, self.within, self.box, self.kids = tag, path, drop, main, within, box, []
 
 
 def _path(parent: int, tag: str, name: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent}/{tag} {name}") >> 1
 
 
-def parse(page: str) -> Node:
-    """The DOM: nodes hold nodes and texts; end tags may be missing anywhere."""
-    root = Node("#root", 0, False, False)
-    stack = [root]
+class _Open:
+    """The open elements, with the places of each tag: every question takes the same time at any depth."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in reversed(self.stack[at:]):
+            self.places[node.tag].pop()
+        del self.stack[at:]
+
+
+def _drops(tag: str, attrs: dict, name: str, inside: bool, main: bool) -> bool:
+    """Do an element's marks say that it is no main text."""
+    return (
+        tag in GONE
+        or (tag == "header" and not inside)
+        or attrs.get("role", "").lower() in ROLES
+        or "hidden" in attrs
+        or attrs.get("aria-hidden") == "true"
+        or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        or (not main and tag not in ("html", "body") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", name)))
+    )
+
+
+def parse(page: str) -> list[Node]:
+    """The DOM as its elements in page order, the root first; they hold elements and texts.
+
+    End tags may be missing anywhere.
+    """
+    nodes = [Node("#root", 0, False, False)]
+    here = _Open(nodes[0])
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            stack[-1].kids.append(text)
+            here.stack[-1].kids.append(text)
         if not m:
             break
         at = m.end()
@@ -90,62 +134,61 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := here.last((tag,)):
+                here.cut(place)
             continue
         attrs = {a.lower(): (v or w or x) for a, v, w, x in reversed(ATTRIBUTE.findall(m[3]))} if m[3].strip() else {}
         ends, walls = CLOSES.get(tag) or ((("p",), WALLS) if tag in BLOCK else ((), ()))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                del stack[i:]
-                break
-            if not ends or stack[i].tag in walls:
-                break
+        if ends and (place := here.last(ends)) > here.last(walls):
+            here.cut(place)
+        if len(here.stack) > DEEPEST:
+            here.cut(DEEPEST)
+        above = here.stack[-1]
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        inside = any(n.tag in ("article", "main") for n in stack)
-        role = attrs.get("role", "").lower()
-        main = tag in ("article", "main") or role == "main" or attrs.get("itemprop", "").lower() == "articlebody"
-        drop = (
-            tag in GONE
-            or (tag == "header" and not inside)
-            or role in ROLES
-            or "hidden" in attrs
-            or attrs.get("aria-hidden") == "true"
-            or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            or (not main and tag not in ("html", "body") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", name)))
-        )
-        node = Node(tag, _path(stack[-1].path, tag, " ".join(sorted(set(name.split())))), drop, main)
-        stack[-1].kids.append(node)
+        main = tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
+        drop = _drops(tag, attrs, name, here.last(("article", "main")) > 0, main)
+        within = above.path if above.main else above.within
+        node = Node(tag, _path(above.path, tag, " ".join(sorted(set(name.split())))), drop, main, within, not main and (not within or tag in BOX))
+        above.kids.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.start() if end else len(page)
         elif tag not in VOID:
-            stack.append(node)
-    return root
-
-
-def styles(root: Node) -> dict[int, tuple[int, int]]:
-    """By path: hashes of the page's child tags and of its text there, all such elements together."""
-    shape: dict[int, list[str]] = {}
-    words: dict[int, list[str]] = {}
-    out = []
-    todo: list[tuple] = [(root, [])]
-    while todo:
-        node, above = todo.pop()
-        if isinstance(node, str):
-            text = " ".join(entities.unescape(node).split())
-            for path in above if text else ():
-                words.setdefault(path, []).append(text)
+            here.push(node)
+    return nodes
+
+
+B64, M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def styles(nodes: list[Node]) -> dict[int, tuple[int, bool, int, int]]:
+    """By path: the path of the main element around it, whether it may go, and hashes of its child
+    tags and of its text, all of the page's elements there together, in page order.
+
+    A text's hash is a polynomial over its parts, so an element's is put together from its
+    children's, last elements first.
+    """
+    held: dict[int, tuple[int, int]] = {}
+    out: dict[int, list] = {}
+    for n in reversed(nodes):
+        total, power, tags = 0, 1, []
+        for k in n.kids:
+            if isinstance(k, str):
+                text = " ".join(entities.unescape(k).split())
+                h, p = (xxhash.xxh3_64_intdigest(text), B64) if text else (0, 1)
+            else:
+                h, p = held.pop(id(k))
+                tags.append(k.tag)
+            total, power = (total * p + h) & M64, power * p & M64
+        held[id(n)] = total, power
+        if n.tag in ("#root", "html", "body"):
             continue
-        here = above if node.tag in ("#root", "html", "body") else [*above, node.path]
-        if node.path and here is not above:
-            out.append(node.path)
-            shape.setdefault(node.path, []).append(" ".join(k.tag for k in node.kids if isinstance(k, Node)))
-        todo += [(k, here) for k in reversed(node.kids)]
-    digest = lambda parts: xxhash.xxh3_64_intdigest("\n".join(parts)) >> 1
-    return {p: (digest(shape[p]), digest(words.get(p, ()))) for p in dict.fromkeys(out)}
+        shape = xxhash.xxh3_64_intdigest(" ".join(tags))
+        seen = out.setdefault(n.path, [n.within, n.box and not n.drop, 0, 1, 0, 1])
+        seen[2], seen[3] = (shape * seen[3] + seen[2]) & M64, seen[3] * B64 & M64
+        seen[4], seen[5] = (total * seen[5] + seen[4]) & M64, seen[5] * power & M64
+    return {path: (within, box, shape >> 1, words >> 1) for path, (within, box, shape, _, words, _) in out.items()}
 
 
 def _mains(root: Node) -> list[Node]:
@@ -164,8 +207,7 @@ def _mains(root: Node) -> list[Node]:
 
 def main_text(page: str, noise: frozenset = frozenset()) -> str:
     """The blocks of the main content, without the branches whose paths are in ``noise``."""
-    root = parse(page)
-    mains = _mains(root)
+    root = parse(page)[0]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -175,14 +217,14 @@ def main_text(page: str, noise: frozenset = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list = [*reversed(mains or [root])]
+    todo: list = [*reversed(_mains(root) or [root])]
     while todo:
         k = todo.pop()
         if k is None:
             flush()
         elif isinstance(k, str):
             line.append(k)
-        elif not (k.drop or (not mains and k.path in noise)):
+        elif not (k.drop or k.path in noise):
             if k.tag in CELL:
                 line.append(" ")
             if k.tag in BLOCK:
@@ -197,24 +239,38 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1)
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of every node of every site."""
+def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, host, page): pages of a host with the same html share the key ``page``."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    rows = rows.withColumn("host", host_of(F.col("url")))
+    return rows.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
+
+
+def page_styles(rows: DataFrame) -> DataFrame:
+    """(page, host, path, within, box, shape, words) of every element node of rows (page, host, html)."""
 
     def make():
-        def f(hosts, texts):
-            rows = [(h, p, s, c) for h, t in zip(hosts, texts) for p, (s, c) in styles(parse(t)).items()]
-            return list(zip(*rows)) or [[]] * 4
+        def f(pages, hosts, texts):
+            found = [(p, h, path, *node) for p, h, t in zip(pages, hosts, texts) for path, node in styles(parse(t)).items()]
+            return list(zip(*found)) or [[]] * 7
 
         return f
 
-    seen = map_rows(pages, [host_of(F.col(url_col)).alias("host"), text_of(html_col)], make, "host string, path long, shape long, words long")
+    return map_rows(rows, ["page", "host", "html"], make, "page binary, host string, path long, within long, box boolean, shape long, words long")
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """(host, path, within, box, pages, presentation, content, importance) of every node of every site."""
     kinds = F.explode(F.array(F.struct(F.lit("shape").alias("kind"), F.col("shape").alias("value")), F.struct(F.lit("words").alias("kind"), F.col("words").alias("value"))))
-    counts = seen.select("host", "path", kinds.alias("k")).groupBy("host", "path", "k.kind", "k.value").agg(F.count("*").alias("n"))
+    # A page may hold a path as a box that can go and another as a marked one: it is a box if any is.
+    counts = seen.select("host", "path", "within", "box", kinds.alias("k")).groupBy("host", "path", "k.kind", "k.value").agg(F.count("*").alias("n"), F.min("within").alias("within"), F.max("box").alias("box"))
     m, spread = F.sum("n"), F.sum(F.col("n") * F.ln("n"))
     # -sum(p ln p) / ln m with p = n / m; a node of one page is important.
     entropy = F.when(m <= 1, F.lit(1.0)).otherwise((F.ln(m) - spread / m) / F.ln(m))
-    each = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("entropy"))
+    each = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("entropy"), F.min("within").alias("within"), F.max("box").alias("box"))
     both = each.groupBy("host", "path").agg(
+        F.min("within").alias("within"),
+        F.max("box").alias("box"),
         F.max("pages").alias("pages"),
         F.max(F.when(F.col("kind") == "shape", F.col("entropy"))).alias("presentation"),
         F.max(F.when(F.col("kind") == "words", F.col("entropy"))).alias("content"),
@@ -222,6 +278,13 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return both.withColumn("importance", CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation"))
 
 
+def noise_of(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, path) of the branches that go: of low importance, in a main element by its measure."""
+    around = tree.select("host", F.col("path").alias("within"), F.col("importance").alias("around"))
+    rows = tree.where("box").join(around, ["host", "within"], "left")
+    return rows.where((F.col("pages") >= least_pages) & (F.col("importance") < low * F.coalesce("around", F.lit(1.0)))).select("host", "path")
+
+
 def extract(
     pages: DataFrame,
     low: float = LOW,
@@ -232,14 +295,14 @@ def extract(
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     store = Store(pages.sparkSession)
-    noise = store.save(
-        style_tree(pages, url_col, html_col)
-        .where((F.col("importance") < low) & (F.col("pages") >= least_pages))
-        .groupBy("host").agg(F.collect_set("path").alias("noise"))
-    )
-    few = (noise.agg(F.sum(F.size("noise"))).first()[0] or 0) <= MOST_IDS
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(noise) if few else noise, "host", "left")
+    rows = _keyed(pages, id_col, url_col, html_col)
+    seen = store.save(page_styles(rows))
+    tree = store.save(style_tree(seen))
+    noise = store.save(noise_of(tree, low, least_pages))
+    # A page is sent the noise among its own nodes, no more.
+    own = store.save(seen.join(noise, ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("noise")))
+    store.keep(own)
+    rows = rows.join(own, "page", "left")
 
     def make():
         def f(ids, urls, texts, noise):

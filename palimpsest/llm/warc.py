@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._base import shared_dir, table
+from palimpsest.llm._base import table
+from palimpsest.sources.store import shared_dir
 
 NAME = "op2_warc_archive"
 LEAST = 1000

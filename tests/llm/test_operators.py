@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palimpsest.llm import bpe, chat, licenses, neardup, quality, sitetree, tiling, tokencount, topk, warc
-from palimpsest.llm._base import shared_dir
+from palimpsest.sources.store import Store, shared_dir
 
 EDGE = [
     None, "", "  ", " a", "a ", "\n", "a  b\t\tc", "▁▁x ▁", " \x00a", "ﬁ½ 中文 🙂👩‍👩‍👧 <s> </s> <0x0A>", "<|endoftext|>a <|endoftext|>b", "a\x1cb\x85d",
@@ -215,6 +217,37 @@ def test_near_duplicates_of_odd_tables(spark):
     assert neardup.components(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_keep_all_links_of_a_repeated_id(spark):
+    r = random.Random(1)
+    a, b = ([f"{c}{r.randint(0, 9)}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "x"])), (4, "c c c"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.component_id, x.kept) for x in neardup.components(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+    kept = [sorted((x.doc_id, x.text or "") for x in neardup.keep_one(df.repartition(p), 3, 85).collect()) for p in (1, 5)]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [1, 4]
+
+
+@pytest.mark.parametrize("group", [2, 7, 1000])
+def test_blocks_of_a_hot_bucket_lose_no_pair(spark, group):
+    """Sets that share a bucket but no component: every pair above the threshold must be found."""
+    r = random.Random(group)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(40):
+        c = list(base)
+        for _ in range(r.randint(0, 4)):
+            c[r.randrange(100)] = f"x{r.randint(0, 9)}"
+        texts.append(" ".join(c))
+    store = Store(spark)
+    sets = store.save(neardup.shingle_sets(spark.createDataFrame([(t,) for t in texts], "text string"), 3).dropDuplicates(["key"]))
+    rows = {bytes(x.key): set(x["items"]) for x in sets.collect()}
+    mixed = store.save(sets.select(F.lit(5).cast("long").alias("bucket"), "key", F.size("items").alias("n"), F.col("key").alias("comp")))
+    found = {frozenset((bytes(x.a), bytes(x.b))) for x in neardup.apart_pairs(store, mixed, sets, 85, group).collect()}
+    near = {frozenset((a, b)) for a in rows for b in rows if a < b and 100 * len(rows[a] & rows[b]) >= 85 * len(rows[a] | rows[b])}
+    assert near and near <= found and len(found) < len(rows) * (len(rows) - 1) / 2
+
+
 def test_super_minhash_follows_its_definition():
     r = np.random.default_rng(0)
     sets = [r.integers(0, 2**63, n).astype(np.uint64) for n in (1, 3, 60, 0, 400)]
@@ -275,6 +308,67 @@ def test_html_main_text():
     assert sitetree.main_text(PAGE) == "A &amp; B\n\none two\n\nthree four five"
     assert sitetree.main_text("") == "" and sitetree.main_text("plain <b>text") == "plain text"
     assert sitetree.main_text("<table><tr><td>a<td>b<tr><td>c</table><ul><li>1<li>2</ul>") == "a b\n\nc\n\n1\n\n2"
+    assert sitetree.main_text("<ul><li>a<ul><li>b</ul><li>c</ul></p></x>d<p>e<div>f</div>g") == "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    for tag, times in (("<b class=x>", 200_000), ("<div>", 30_000), ("<p><b>", 30_000), ("</b>", 30_000), ("<li>", 30_000), ("<article><p>", 30_000)):
+        page = f"{tag} w" * times
+        begun = time.perf_counter()
+        nodes = sitetree.parse(page)
+        found = sitetree.styles(nodes)
+        assert sitetree.main_text(page).split() == ["w"] * times
+        assert time.perf_counter() - begun < 30 and len(found) < 2000
+
+
+def brute_tree(pages):
+    """(host, path) -> presentation and content importance, from plain lists per page."""
+    seen = collections.defaultdict(lambda: ([], []))
+    for host, page in pages:
+        by_path = collections.defaultdict(lambda: ([], []))
+
+        def walk(node):
+            texts, tags = [], []
+            for k in node.kids:
+                if isinstance(k, str):
+                    texts += [" ".join(k.split())] if k.split() else []
+                else:
+                    tags.append(k.tag)
+                    texts += walk(k)
+            if node.tag not in ("#root", "html", "body"):
+                by_path[node.path][0].insert(0, tuple(tags))
+                by_path[node.path][1].insert(0, texts)
+            return texts
+
+        root = sitetree.parse(page)[0]
+        order = []
+
+        def visit(node):
+            order.append(node)
+            for k in node.kids:
+                if not isinstance(k, str):
+                    visit(k)
+
+        visit(root)
+        walk(root)
+        for path in {n.path for n in order if n.tag not in ("#root", "html", "body")}:
+            here = [n for n in order if n.path == path]
+            flat = lambda n: [x for k in n.kids for x in ([" ".join(k.split())] if isinstance(k, str) and k.split() else [] if isinstance(k, str) else flat(k))]  # noqa: B023, E731
+            seen[host, path][0].append(tuple(tuple(k.tag for k in n.kids if not isinstance(k, str)) for n in here))
+            seen[host, path][1].append(tuple(x for n in here for x in flat(n)))
+    entropy = lambda xs: 1.0 if len(xs) == 1 else -sum(c / len(xs) * math.log(c / len(xs)) for c in collections.Counter(xs).values()) / math.log(len(xs))
+    return {k: (len(a), round(entropy(a), 9), round(entropy(b), 9)) for k, (a, b) in seen.items()}
+
+
+def test_style_tree_equals_brute_force(spark):
+    r = random.Random(2)
+    bit = lambda: r.choice(["<p>a", "<p>b</p>", "<div class=x>a", "<div class='x y'><b>c</b></div>", "<ul><li>1<li>2</ul>", "t", "<nav>n</nav>"])
+    pages = [(f"h{r.randint(0, 2)}.example", "<body>" + "".join(bit() for _ in range(r.randint(0, 6)))) for _ in range(80)]
+    df = spark.createDataFrame([(i, f"http://{h}/", t) for i, (h, t) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    tree = sitetree.style_tree(sitetree.page_styles(sitetree._keyed(df, "page_id", "url", "html"))).collect()
+    want = brute_tree(pages)
+    assert {(x.host, x.path): (x.pages, round(x.presentation, 9) + 0.0, round(x.content, 9) + 0.0) for x in tree} == {k: (n, a + 0.0, b + 0.0) for k, (n, a, b) in want.items()}
+    assert all(abs(x.importance - (0.9 * x.content + 0.1 * x.presentation)) < 1e-12 for x in tree)
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -288,6 +382,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert {r.text for r in sitetree.extract(same).collect()} == {sitetree.main_text(PAGE)}
 
 
+def test_style_tree_decides_inside_a_main_element(spark, monkeypatch):
+    """A box alike in all articles goes; a repeated article, its headings and paragraphs stay; so does a box that differs."""
+    page = lambda i: f"<article><h1>Our title</h1><div class=k>Follow us everywhere</div><p>Story {i}</p><p>The end.</p><div class=own>Box {i}</div></article>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(20)] + [(i, "http://b.example/", page(1)) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
+    assert all(got[i] == f"Our title\n\nStory {i}\n\nThe end.\n\nBox {i}" for i in range(20))
+    assert all(got[i] == "Our title\n\nFollow us everywhere\n\nStory 1\n\nThe end.\n\nBox 1" for i in range(20, 60))
+    noise = sitetree.noise_of
+    monkeypatch.setattr(sitetree, "noise_of", lambda *a: noise(*a).limit(0))
+    assert {r.page_id: r.text for r in sitetree.extract(df).collect()}[3].count("Follow us") == 1
+
+
 def test_tiling_catches_reordered_passages(spark):
     r = random.Random(5)
     word = lambda: f"w{r.randint(0, 5000)}"
