@@ -1,7 +1,7 @@
 """MinHash near-duplicates by SuperMinHash, banding, verification and union-find (operator 5).
 
 A document is the set of its distinct word shingles, each a 64-bit hash; equal sets form a
-class, and only its representative, the smallest doc_id, goes on. SuperMinHash gives each
+class, which goes on as one node, named by a 128-bit hash of the set. SuperMinHash gives each
 element a permutation of the registers with ranks as integer parts; a document stops as soon
 as its largest register can't fall any more. Bands of registers are bucket keys. Links are
 confirmed on full sets. Groups of copies are never expanded into all pairs:
@@ -10,14 +10,16 @@ confirmed on full sets. Groups of copies are never expanded into all pairs:
 2. in buckets that still hold several components, what is outside the largest one is compared
    with some members of it;
 3. what is still apart is compared with every member of its buckets that is in another
-   component, unless their parity sketches show that too few elements can be in common. So every candidate pair is confirmed, refuted, or inside one component.
+   component, unless their parity sketches show that too few elements can be in common. A bucket
+   is cut into blocks of bounded size, and each pair of blocks is one group of the join.
+
+So every candidate pair is confirmed, refuted, or inside one component.
 
 A link of the threshold itself is missed with probability (1 - t**rows)**bands: 7e-8 at 0.85.
 
 Null and empty texts have an empty set and are linked with nothing. Null ids take no part in
 links; such rows have a null component and are kept. Repeated rows are one document. Rows with
-different texts under one doc_id belong to one component; if both represent their class, the
-links are those of the class with the smaller key.
+different texts under one doc_id belong to one component, which has the links of all of them.
 """
 
 from __future__ import annotations
@@ -28,13 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._base import Store, by_ids, map_rows, table, text_of
+from palimpsest.llm._base import by_ids, map_rows, table, text_of
+from palimpsest.operators.graph import connected
+from palimpsest.sources.store import Store
 
 NAME = "op5_near_duplicates"
 WORDS, PERCENT = 3, 85
 BANDS, ROWS = 28, 5
 #: 64-bit words of a set's parity sketch.
 SKETCH = 16
+#: Members of a bucket that are compared with each other in one group.
+GROUP = 512
 
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -60,6 +66,11 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(mix(x + U(n)))
 
 
+def set_key(elements: np.ndarray) -> bytes:
+    """The name of a set."""
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
 def super_minhash(elements: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.ndarray:
     """Registers (docs x m) of the sets given as elements with their documents' positions.
 
@@ -112,7 +123,7 @@ def signatures(df: DataFrame, id_col: Column, n: int, bands: int, rows: int) ->
             return (
                 ids,
                 sizes,
-                [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                [set_key(s) if len(s) else None for s in sets],
                 pa.array([k if len(s) else () for k, s in zip(keys, sets)], pa.list_(pa.int64())),
             )
 
@@ -131,24 +142,24 @@ def parity(items: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, n: int) -> DataFrame:
-    """(id, items, sketch) for rows (id, text)."""
+    """(key, items, sketch) of the texts of ``df``; no row for an empty set."""
 
     def make():
-        def f(ids, texts):
-            sets = [shingles(t, n) for t in texts]
+        def f(texts):
+            sets = [s for s in (shingles(t, n) for t in texts) if len(s)]
             many = lambda rows: pa.array(rows, pa.list_(pa.int64()))
-            return ids, many([s.view(np.int64) for s in sets]), many([parity(s) for s in sets])
+            return [set_key(s) for s in sets], many([s.view(np.int64) for s in sets]), many([parity(s) for s in sets])
 
         return f
 
-    return map_rows(df, ["id", "text"], make, "id long, items array<long>, sketch array<long>")
+    return map_rows(df, ["text"], make, "key binary, items array<long>, sketch array<long>")
 
 
 def _local_forest(edges: DataFrame) -> DataFrame:
     """Union-find within each partition: its edges become stars around smallest members."""
 
     def run(batches):
-        up: dict[int, int] = {}
+        up: dict[bytes, bytes] = {}
 
         def root(x):
             while (y := up.setdefault(x, x)) != x:
@@ -161,29 +172,9 @@ def _local_forest(edges: DataFrame) -> DataFrame:
                 if x != y:
                     up[max(x, y)] = min(x, y)
         rest = [x for x in up if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.int64()), pa.array([root(x) for x in rest], pa.int64())], names=["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array([root(x) for x in rest], pa.binary())], names=["a", "b"])
 
-
-def connected(store: Store, edges: DataFrame) -> DataFrame:
-    """(a, b): for every node but the smallest of its component, that smallest node.
-
-    Local union-find first; then alternating large and small stars until nothing changes.
-    """
-    state, now = None, store.save(_local_forest(edges))
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if seen == state or not seen[0]:
-            return now
-        state = seen
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = store.save(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
 
 
 def _near(n: str, m: str, percent: int) -> Column:
@@ -193,20 +184,41 @@ def _near(n: str, m: str, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items"))
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
     return both.where(common * 100 >= (F.size("a_items") + F.size("b_items") - common) * percent).select("a", "b")
 
 
 def _mixed(store: Store, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, id, n, comp) of the buckets that hold more than one component."""
-    now = members.select("bucket", "id", "n").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
-    now = store.save(now.select("bucket", "id", "n", F.coalesce("root", "id").alias("comp")))
+    """(bucket, key, n, comp) of the buckets that hold more than one component."""
+    now = members.select("bucket", "key", "n").join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
+    now = store.save(now.select("bucket", "key", "n", F.coalesce("root", "key").alias("comp")))
     several = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
     return store.save(now.join(several, "bucket", "left_semi"))
 
 
+def apart_pairs(store: Store, mixed: DataFrame, sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
+    """(a, b): pairs of a bucket in different components that may reach the threshold.
+
+    A bucket of more than ``group`` members is cut into blocks by hash, and every member goes to
+    the groups of its block with each block: no group holds more than about two blocks.
+    """
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("key", F.lit(4)), F.col("blocks")).cast("int").alias("mine")
+    placed = store.save(mixed.join(sizes, "bucket").join(sets.select("key", "sketch"), "key").select("bucket", "blocks", mine, "key", "n", "comp", "sketch"))
+    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+    left = rows.where("mine <= other").select("cell", "mine", F.col("key").alias("a"), "n", "sketch", "comp")
+    right = rows.where("mine >= other").select("cell", F.col("mine").alias("at"), F.col("other").alias("of"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"), F.col("comp").alias("comp_b"))
+    pairs = left.join(right, "cell").where("comp <> comp_b AND mine = of AND (mine < at OR a < b)").where(_near("n", "m", percent))
+    # No more elements are in common than the sketches allow; most pairs end here.
+    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    both = F.col("n") + F.col("m")
+    pairs = pairs.where((both - differ) * (100 + percent) >= both * (2 * percent))
+    return store.save(pairs.select("a", "b").distinct())
+
+
 def components(
     docs: DataFrame,
     n: int = WORDS,
@@ -215,74 +227,72 @@ def components(
     rows: int = ROWS,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    """(doc_id, n_shingles, key, component_id, kept) of every row of ``docs``."""
     store = Store(docs.sparkSession)
     key_col = F.col(id_col).cast("long")
     signed = store.save(signatures(docs, key_col, n, bands, rows))
-    classes = store.save(
-        signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
-        .groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
-    exploded = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    heads = store.save(exploded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head"))
+    named = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    classes = store.save(named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    exploded = classes.select("key", "n", F.explode("bands").alias("bucket"))
+    heads = store.save(exploded.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head"))
     members = store.save(exploded.join(heads, "bucket").distinct())
-    ids = store.save(members.select("id").distinct())
+    ids = store.save(members.select("key").distinct().join(classes.select("key", "id"), "key").select("id").distinct())
     texts = by_ids(docs.select(key_col.alias("id"), text_of()), ids, "id", "left_semi")
-    sets = store.save(shingle_sets(texts, n).groupBy("id").agg(F.min(F.struct("items", "sketch")).alias("s")).select("id", "s.*"))
+    sets = store.save(shingle_sets(texts, n).groupBy("key").agg(F.first(F.struct("items", "sketch")).alias("s")).select("key", "s.*"))
+
+    # Texts under one doc_id belong together.
+    shared = named.groupBy("doc_id").agg(F.min("key").alias("b"), F.max("key").alias("high")).where("b < high").select("doc_id", "b")
+    shared = named.join(shared, "doc_id").where("key > b").select(F.col("key").alias("a"), "b").distinct()
 
-    stars = members.where(F.col("id") != F.col("head.id")).where(_near("n", "head.n", percent))
-    stars = stars.groupBy("id", F.col("head.id").alias("center")).agg(F.count("*").alias("shared"))
-    stars = store.save(stars.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("shared", -F.col("center"))).alias("best")).select("a", (-F.col("best")["col2"]).alias("b")))
-    roots = connected(store, _confirmed(stars, sets, percent))
+    stars = members.where(F.col("key") != F.col("head.key")).where(_near("n", "head.n", percent))
+    stars = stars.groupBy("key", F.col("head.key").alias("center")).agg(F.count("*").alias("shared"))
+    stars = store.save(stars.groupBy(F.col("key").alias("a")).agg(F.max_by("center", F.struct("shared", "center")).alias("b")))
+    roots = connected(store, _local_forest(shared.unionByName(_confirmed(stars, sets, percent))))
 
     mixed = _mixed(store, members, roots)
     if not mixed.isEmpty():
-        count = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), "id", "n")).alias(f"c{s}") for s in (1, 2, 3)])
+        count = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("key", F.lit(s)).alias("h"), "key", "n")).alias(f"c{s}") for s in (1, 2, 3)])
         most = count.groupBy("bucket").agg(F.max(F.struct("size", "comp", "c1", "c2", "c3")).alias("m"))
         outside = mixed.join(most, "bucket").where(F.col("comp") != F.col("m.comp"))
-        pairs = outside.select(F.col("id").alias("a"), "n", F.explode(F.array_distinct(F.array(*[F.struct(f"m.c{s}.id", f"m.c{s}.n") for s in (1, 2, 3)]))).alias("c"))
-        tried = store.save(pairs.where(_near("n", "c.n", percent)).select("a", F.col("c.id").alias("b")).distinct())
-        roots = connected(store, roots.unionByName(_confirmed(tried, sets, percent)))
+        pairs = outside.select(F.col("key").alias("a"), "n", F.explode(F.array_distinct(F.array(*[F.struct(f"m.c{s}.key", f"m.c{s}.n") for s in (1, 2, 3)]))).alias("c"))
+        tried = store.save(pairs.where(_near("n", "c.n", percent)).select("a", F.col("c.key").alias("b")).distinct())
+        roots = connected(store, _local_forest(roots.unionByName(_confirmed(tried, sets, percent))))
 
         mixed = _mixed(store, mixed, roots)
         if not mixed.isEmpty():
-            mixed = store.save(mixed.join(sets.select("id", "sketch"), "id"))
-            other = mixed.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"), F.col("comp").alias("other"))
-            pairs = mixed.withColumnRenamed("id", "a").join(other, "bucket").where("comp < other").where(_near("n", "m", percent))
-            # No more elements are in common than the sketches allow; most pairs end here.
-            apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("other_sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-            both = F.col("n") + F.col("m")
-            pairs = pairs.where((both - apart) * (100 + percent) >= both * (2 * percent))
-            pairs = store.save(pairs.select("a", "b").distinct())
-            roots = connected(store, roots.unionByName(_confirmed(pairs, sets, percent)))
-
-    found = store.save(
-        classes.select("key", "id")
-        .join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
-        .select("key", F.coalesce("root", "id").alias("component_id"))
-    )
-    return signed.select("doc_id", "n_shingles", "key").join(found, "key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+            pairs = apart_pairs(store, mixed, sets, percent)
+            roots = connected(store, _local_forest(roots.unionByName(_confirmed(pairs, sets, percent))))
+
+    member = classes.select("key", "id").join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    member = store.save(member)
+    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = store.save(member.join(least, "root").select("key", "component_id"))
+    store.keep(signed, found)
+    # Rows of one doc_id share a component, be their own text empty or not.
+    by_doc = named.select("doc_id", "key").join(found, "key").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"))
+    out = signed.select("doc_id", "n_shingles", "key").join(by_doc, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "doc_id"))
+    return out.select("doc_id", "n_shingles", "key", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document, the smallest id, of each component; all columns stay.
 
-    Of rows that repeat an id one stays. Rows without an id stay.
+    Of rows that repeat an id the one stays whose values come first, in the order of the columns
+    that can be ordered. Rows without an id stay.
     """
     store = Store(docs.sparkSession)
     found = store.save(components(docs, n, percent, id_col=id_col).select("doc_id", "kept"))
     gone = store.save(found.where("NOT kept").select("doc_id").distinct())
     left = by_ids(docs, gone, id_col, "left_anti")
     again = store.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    store.keep(gone, again)
     if again.isEmpty():
         return left
-    return by_ids(left, again, id_col, "left_anti").unionByName(by_ids(left, again, id_col, "left_semi").dropDuplicates([id_col]))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = by_ids(left, again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), whole).alias("row")).select("row.*")
+    return by_ids(left, again, id_col, "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents")).drop("key")
