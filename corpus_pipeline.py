@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, neardup, quality, tiling
-from palimpsest.llm._base import Store, table
+from palimpsest.sources.model import table
+from palimpsest.sources.store import Store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
