@@ -1,37 +1,42 @@
 """Benchmark decontamination by greedy string tiling (operator 10).
 
-Texts become words: runs of letters and digits, lower case. Documents that share a seed, a run
-of ``SEED`` words, with an item are its candidates; a shorter item is a seed as a whole. For
-each candidate the longest matches of unmarked words are marked again and again, found by
-running Karp-Rabin hashes at falling lengths; tiles do not overlap and may stand in any order,
-so reordered passages count. A document is contaminated by an item when its tiles cover
-``COVERAGE`` of the item's words.
+Texts become words: runs of letters and digits, lower case. The hashes of all runs of ``SEED``
+words of the documents are joined with those of the items; a shorter item is a seed as a whole.
+Pairs whose shared seeds could cover enough of the item are tiled: the longest match of unmarked
+words is marked again and again, found by running Karp-Rabin hashes at falling lengths; tiles do
+not overlap and may stand in any order, so reordered passages count. A document is contaminated
+by an item when its tiles cover ``COVERAGE`` of the item's words.
+
+Equal texts are tiled once, under the MD5 of the text, and equal items too. Nothing is collected
+or broadcast by hand: Spark sends the items' seeds to all tasks where their table is small, and
+shuffles both sides where it is not.
 
 Null and empty texts and items without words match nothing. Repeated rows are reported each by
-itself, repeated items once per row. Items are broadcast in blocks of a checked size, one pass
-over the documents for each block.
+itself, repeated items once per row. Of equally long matches the first in the document goes
+first, then the first in the item.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm._base import map_rows, table, text_of
+from palimpsest.sources.store import Store
 
 NAME = "op10_decontamination"
 SEED = 5
 COVERAGE = 0.6
-#: Bytes of item texts that are broadcast at once.
-BLOCK_BYTES = 16 << 20
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
+#: Places of one length where a search begins, and pairs of places looked at together.
+LONGEST_STEP, PAIRS_AT_ONCE = 64, 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -60,115 +65,164 @@ def running(x: np.ndarray, n: int) -> np.ndarray:
         step, power = step * step, power * 2
 
 
+def _runs(free: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of ``n`` free places."""
+    if len(free) < n:
+        return np.empty(0, np.int64)
+    total = np.concatenate(([0], np.cumsum(free)))
+    return np.nonzero(total[n:] - total[:-n] == n)[0]
+
+
+def _starts(doc, item, free_d, free_i, n):
+    """(i, j) where a match of at least ``n`` free words may begin, by running hashes."""
+    at_d, at_i = _runs(free_d, n), _runs(free_i, n)
+    if not len(at_d) or not len(at_i):
+        return
+    hash_d, hash_i = running(doc, n)[at_d], running(item, n)[at_i]
+    order = np.argsort(hash_i, kind="stable")
+    hash_i, at_i = hash_i[order], at_i[order]
+    low, high = np.searchsorted(hash_i, hash_d, "left"), np.searchsorted(hash_i, hash_d, "right")
+    hit = high > low
+    at_d, low, count = at_d[hit], low[hit], (high - low)[hit]
+    total = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+        c = count[a:z]
+        i = np.repeat(at_d[a:z], c)
+        j = at_i[np.repeat(low[a:z], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)]
+        p, q = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        goes_on = (i > 0) & (j > 0) & free_d[p] & free_i[q] & (doc[p] == item[q])
+        yield from zip(i[~goes_on].tolist(), j[~goes_on].tolist())
+        a = z
+
+
+def _length(doc, item, free_d, free_i, i, j) -> int:
+    """How far the free words from (i, j) on are equal."""
+    most, e, step = min(len(doc) - i, len(item) - j), 0, 64
+    while e < most:
+        z = min(most, e + step)
+        same = (doc[i + e : i + z] == item[j + e : j + z]) & free_d[i + e : i + z] & free_i[j + e : j + z]
+        if not same.all():
+            return e + int(same.argmin())
+        e, step = z, 2 * step
+    return e
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(doc position, item position, length) of the greedy tiles, longest first at each length."""
+    """(doc position, item position, length) of the greedy tiles, in the order they are marked.
+
+    Matches of at least the step's length wait in a heap, longest first. One that has lost words to
+    another tile is cut to what is left, and waits again under its new length.
+    """
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     out: list[tuple[int, int, int]] = []
-    d, it = doc.tolist(), item.tolist()
-    n = max(least, min(len(item), 64))
+    n = max(least, min(len(item), LONGEST_STEP))
     while True:
-        while found := _matches(doc, item, d, it, free_d, free_i, n):
-            marked = False
-            for length, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-                if free_d[i : i + length].all() and free_i[j : j + length].all():
-                    free_d[i : i + length] = free_i[j : j + length] = False
-                    out.append((i, j, length))
-                    marked = True
-            if not marked:
-                break
+        heap = [(-e, i, j) for i, j in _starts(doc, item, free_d, free_i, n) if (e := _length(doc, item, free_d, free_i, i, j)) >= n]
+        heapify(heap)
+        while heap:
+            e, i, j = heappop(heap)
+            free = free_d[i : i - e] & free_i[j : j - e]
+            if free.all():
+                free_d[i : i - e] = free_i[j : j - e] = False
+                out.append((i, j, -e))
+                continue
+            ends = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+            for a, z in zip(ends[::2].tolist(), ends[1::2].tolist()):
+                if z - a >= n:
+                    heappush(heap, (a - z, i + a, j + a))
         if n == least:
             return out
         n = max(least, n // 2)
 
 
-def _runs(free: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the runs of ``n`` free places."""
-    if len(free) < n:
-        return np.empty(0, np.int64)
-    total = np.concatenate(([0], np.cumsum(free)))
-    return np.nonzero(total[n:] - total[:-n] == n)[0]
+def tile_texts(text: str, item: list[str], seed: int = SEED) -> tuple[float, int, int, int] | None:
+    """(coverage, tiles, longest tile, first word) of an item's words by a text; None without a tile."""
+    number: dict[str, int] = {}
+    y = np.array([number.setdefault(w, len(number) + 1) for w in item], dtype=np.int64)
+    n = min(seed, len(item))
+    if not n:
+        return None
+    x = np.array([number.get(w, 0) for w in words_of(text)], dtype=np.int64)
+    # Only words under a seed can be in a tile; the rest becomes one wall each.
+    at = _runs(x > 0, n)
+    at = at[np.isin(running(x, n)[at], running(y, n))] if len(at) else at
+    under = np.zeros(len(x) + 2, np.int64)
+    np.add.at(under, at, 1)
+    np.add.at(under, at + n, -1)
+    under = np.cumsum(under) > 0
+    spots = np.nonzero(under[:-2] | under[1:-1])[0]
+    found = tiles(np.where(under[spots], x[spots], 0), y, n)
+    if not found:
+        return None
+    return sum(t[2] for t in found) / len(y), len(found), max(t[2] for t in found), int(spots[min(t[0] for t in found)])
 
 
-def _matches(doc, item, d, it, free_d, free_i, n):
-    """Longest extensions of the matches of ``n`` free words."""
-    at_i, at_d = _runs(free_i, n), _runs(free_d, n)
-    if not len(at_i) or not len(at_d):
-        return []
-    hash_i, hash_d = running(item, n)[at_i], running(doc, n)[at_d]
-    where = defaultdict(list)
-    for h, j in zip(hash_i.tolist(), at_i.tolist()):
-        where[h].append(j)
-    hit = np.isin(hash_d, hash_i)
-    found = []
-    for i, h in zip(at_d[hit].tolist(), hash_d[hit].tolist()):
-        for j in where[h]:
-            if i and j and free_d[i - 1] and free_i[j - 1] and d[i - 1] == it[j - 1]:
-                continue  # part of a match that began before
-            e = 0
-            while i + e < len(d) and j + e < len(it) and d[i + e] == it[j + e] and free_d[i + e] and free_i[j + e]:
-                e += 1
-            if e >= n:
-                found.append((e, i, j))
-    return found
-
-
-class Items:
-    """A block of items: their words as numbers, and an index from seeds to items."""
-
-    def __init__(self, rows: list[tuple[int, str]], seed: int):
-        self.number: dict[str, int] = {}
-        self.items = []
-        by_length = defaultdict(lambda: defaultdict(set))
-        for item_id, text in rows:
-            x = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], dtype=np.int64)
-            if not len(x):
-                continue
-            n = min(seed, len(x))
-            for h in running(x, n).tolist():
-                by_length[n][h].add(len(self.items))
-            self.items.append((item_id, x, n))
-        self.seeds = []
-        for n, index in sorted(by_length.items()):
-            keys = np.array(sorted(index), dtype=np.uint64)
-            self.seeds.append((n, keys, [sorted(index[k]) for k in keys.tolist()]))
-
-    def covered(self, text: str) -> list[tuple[int, float, int, int, int]]:
-        """(item, coverage, tiles, longest tile, first word) of every item that shares a seed."""
-        get = self.number.get
-        x = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
-        near: dict[int, list] = defaultdict(list)  # item -> places of its seeds
-        for n, keys, items in self.seeds:
-            known = _runs(x > 0, n)
-            if not len(known):
-                continue
-            h = running(x, n)[known]
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for at, i in zip(known[keys[k] == h].tolist(), k[keys[k] == h].tolist()):
-                for item in items[i]:
-                    near[item].append(at)
-        out = []
-        for item, places in sorted(near.items()):
-            item_id, words, n = self.items[item]
-            # Only words under a seed can be in a tile; the rest becomes one wall each.
-            under = np.zeros(len(x) + 1, bool)
-            for p in places:
-                under[p : p + n] = True
-            spots = np.nonzero(under[:-1] | under[1:])[0]
-            part = np.where(under[spots], x[spots], 0)
-            found = tiles(part, words, n)
-            if found:
-                out.append((item_id, sum(t[2] for t in found) / len(words), len(found), max(t[2] for t in found), int(spots[min(t[0] for t in found)])))
-        return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The items in blocks of about ``block_bytes`` of text."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_of(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
+def seed_hashes(words: list[str], n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, in order; they depend on ``n``."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (running(h, n) * np.uint64(2 * n + 1)).view(np.int64)
+
+
+def _items(benchmark: DataFrame, seed: int, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, item, words, seeds): items with words; ``item`` names equal word lists."""
+
+    def make():
+        def f(ids, texts):
+            cut = [(i, w) for i, w in zip(ids, map(words_of, texts)) if w]
+            return (
+                [i for i, _ in cut], [xxhash.xxh3_128_digest(" ".join(w)) for _, w in cut], [w for _, w in cut],
+                pa.array([seed_hashes(w, min(seed, len(w))) for _, w in cut], pa.list_(pa.int64())),
+            )
+
+        return f
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_of(text_col).alias("text"))
+    return map_rows(rows, ["item_id", "text"], make, "item_id long, item binary, words array<string>, seeds array<long>")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Documents with the whole text as ``text`` and its MD5 as ``key``."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)], text_of(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+
+
+def _doc_seeds(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, seeds) of rows (key, text): hashes of all runs of each of ``lengths`` words."""
+
+    def make():
+        def f(keys, texts):
+            cut = [words_of(t) for t in texts]
+            return keys, pa.array([np.concatenate([seed_hashes(w, n) for n in lengths]) for w in cut], pa.list_(pa.int64()))
+
+        return f
+
+    return map_rows(texts, ["key", "text"], make, "key binary, seeds array<long>")
+
+
+def tiled(store: Store, rows: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
+    """(key, item, coverage, n_tiles, longest_tile, first_word) of the contaminated texts of rows (key, text)."""
+    distinct = store.save(items.groupBy("item").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")).withColumn("n", F.size("words")))
+    lengths = [r[0] for r in distinct.select(F.least("n", F.lit(seed)).alias("l")).distinct().orderBy("l").collect()]  # ``seed`` of them at most
+    places = store.save(distinct.select("item", "n", F.explode("seeds").alias("seed")).groupBy("item", "n", "seed").agg(F.count("*").alias("places")))
+    if not lengths:
+        lengths = [seed]
+    hits = _doc_seeds(rows, lengths).select("key", F.explode("seeds").alias("seed")).join(places, "seed")
+    # Each tile of L words has L - seed + 1 seeds, at least a share 1 / seed of its words.
+    hits = hits.groupBy("key", "item", "n", "seed").agg(F.first("places").alias("places"))
+    pairs = hits.groupBy("key", "item", "n").agg(F.sum("places").alias("shared")).where(F.col("shared") * F.least("n", F.lit(seed)) >= F.col("n") * (coverage - 1e-9))
+    pairs = store.save(pairs.select("key", "item"))
+    texts = rows.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = pairs.join(texts, "key").join(distinct.select("item", "words"), "item")
+
+    def make():
+        def f(keys, names, texts, words):
+            found = [(k, i, *m) for k, i, t, w in zip(keys, names, texts, words) if (m := tile_texts(t, w, seed)) and m[0] >= coverage]
+            return list(zip(*found)) or [[]] * 6
+
+        return f
+
+    return map_rows(both, ["key", "item", "text", "words"], make, "key binary, item binary, coverage double, n_tiles long, longest_tile long, first_word long")
 
 
 def contaminations(
@@ -176,51 +230,28 @@ def contaminations(
     benchmark: DataFrame,
     coverage: float = COVERAGE,
     seed: int = SEED,
-    block_bytes: int = BLOCK_BYTES,
-    id_col: str | Column = "doc_id",
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest_tile, first_word) of contaminated documents."""
-    spark = docs.sparkSession
-    ddl = "doc_id long, found array<struct<item_id: long, coverage: double, n_tiles: long, longest_tile: long, first_word: long>>"
-    names = ("item_id", "coverage", "n_tiles", "longest_tile", "first_word")
-    parts = []
-    for rows in _blocks(benchmark, "item_id", "text", block_bytes):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def make(sent=sent):
-            items = Items(sent.value, seed)
-
-            def f(ids, texts):
-                return ids, [[dict(zip(names, m)) for m in items.covered(t) if m[1] >= coverage] for t in texts]
-
-            return f
-
-        key = F.col(id_col) if isinstance(id_col, str) else id_col
-        parts.append(map_rows(docs, [key.cast("long").alias("doc_id"), text_of()], make, ddl).select("doc_id", F.inline("found")))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long, first_word long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _flag(sent, coverage: float, seed: int):
-    @F.pandas_udf("boolean")
-    def f(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(sent.value, seed)
-        for s in texts:
-            yield pd.Series([any(m[1] >= coverage for m in items.covered(t)) for t in s], dtype=bool)
-
-    return f
-
-
-def is_contaminated(benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> Column:
-    """A column: whether a text is contaminated by any item."""
-    flag = F.lit(False)
-    for rows in _blocks(benchmark, "item_id", "text", block_bytes):
-        flag = flag | _flag(benchmark.sparkSession.sparkContext.broadcast(rows), coverage, seed)(text_of(text_col))
-    return flag
+    store = Store(docs.sparkSession)
+    items = store.save(_items(benchmark, seed, "item_id", "text"))
+    rows = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text")
+    found = store.save(tiled(store, rows.select("key", "text"), items, coverage, seed))
+    store.keep(items, found)
+    out = rows.select(F.col("c0").alias("doc_id"), "key").join(found, "key").join(items.select("item_id", "item"), "item")
+    return out.select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile", "first_word")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with their columns."""
+    store = Store(docs.sparkSession)
+    items = store.save(_items(benchmark, seed, "item_id", "text"))
+    rows = _keyed(docs, text_col)
+    found = store.save(tiled(store, rows.select("key", "text"), items, coverage, seed).select("key").distinct())
+    store.keep(found)
+    left = rows.join(found, "key", "left_anti")
+    return left.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

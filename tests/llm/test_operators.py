@@ -403,20 +403,19 @@ def test_tiling_catches_reordered_passages(spark):
     a, b = items[0], items[1]
     texts = [
         " ".join(noise(30) + a[30:] + noise(9) + a[:30] + noise(5)), " ".join(x.upper() + "," for x in b), " ".join(noise(500)), None, "", " ".join(items[2]),
-        " ".join(a[:20] + noise(50)), " ".join(b + noise(5) + b), " ".join(items[3][:6] + noise(3) + items[3][6:]),
+        " ".join(a[:20] + noise(50)), " ".join(b + noise(5) + b), " ".join(items[3][:6] + noise(3) + items[3][6:]), " ".join(b), " ".join(noise(20_000) + a + noise(20_000)),
     ]
-    bench = spark.createDataFrame([(i, " ".join(x), 0) for i, x in enumerate(items)] + [(9, None, 0), (10, "", 0)], "item_id long, text string, doc_id int")
-    for block in (1 << 20, 100):
-        got = {(x.doc_id, x.item_id): x.coverage for x in tiling.contaminations(docs(spark, texts), bench, block_bytes=block).collect()}
-        assert set(got) == {(0, 0), (1, 1), (5, 2), (7, 1), (8, 3)} and set(got.values()) == {1.0}
-    flags = {x.doc_id: x.f for x in docs(spark, texts).select("doc_id", tiling.is_contaminated(bench).alias("f")).collect()}
-    assert {i for i, f in flags.items() if f} == {0, 1, 5, 7, 8}
-    assert tiling.contaminations(docs(spark, texts), bench.limit(0)).count() == 0
+    bench = spark.createDataFrame([(i, " ".join(x), 0) for i, x in enumerate(items)] + [(9, None, 0), (10, "", 0), (0, " ".join(a), 1)], "item_id long, text string, doc_id int")
+    got = collections.Counter((x.doc_id, x.item_id, x.coverage) for x in tiling.contaminations(docs(spark, texts), bench).collect())
+    assert got == {(0, 0, 1.0): 2, (1, 1, 1.0): 1, (5, 2, 1.0): 1, (7, 1, 1.0): 1, (8, 3, 1.0): 1, (9, 1, 1.0): 1, (10, 0, 1.0): 2}
+    left = tiling.clean(docs(spark, texts), bench)
+    assert left.columns == ["doc_id", "text", "n_tokens", "key"] and {x.doc_id for x in left.collect()} == {2, 3, 4, 6}
+    assert tiling.contaminations(docs(spark, texts), bench.limit(0)).count() == 0 and tiling.clean(docs(spark, texts), bench.limit(0)).count() == 11
 
 
 def brute_tiles(doc, item, least):
-    """Longest common run of unmarked words again and again, by trying all."""
-    fd, fi, total = [True] * len(doc), [True] * len(item), 0
+    """The first longest common run of unmarked words again and again, by trying all."""
+    fd, fi, out = [True] * len(doc), [True] * len(item), []
     while True:
         best = (0, 0, 0)
         for i in range(len(doc)):
@@ -428,24 +427,57 @@ def brute_tiles(doc, item, least):
                     best = (e, i, j)
         e, i, j = best
         if e < least:
-            return total
+            return out
         fd[i : i + e], fi[j : j + e] = [False] * e, [False] * e
-        total += e
+        out.append((i, j, e))
 
 
-def test_tiles_cover_what_brute_force_covers():
+def shuffled_texts(r, n_items, n_docs):
+    """Items over a small vocabulary, and documents made of pieces of them: many ties and overlaps."""
+    items = [[f"v{r.randint(0, 30)}" for _ in range(r.choice([2, 4, 5, 9, 25, 40]))] for _ in range(n_items)]
+    docs = []
+    for _ in range(n_docs):
+        d = []
+        while len(d) < r.randint(0, 90):
+            it = r.choice(items)
+            a = r.randrange(len(it))
+            d += it[a : a + r.randint(1, 20)] + ["wall"] * r.randint(0, 1)
+        docs.append(d)
+    return items, docs
+
+
+def test_tiles_equal_brute_force():
     r = random.Random(8)
-    for _ in range(60):
-        item = list(range(1, r.randint(6, 40)))
-        r.shuffle(item)
+    for _ in range(400):
+        alphabet = r.choice([2, 5, 40])
+        item = [r.randrange(1, alphabet + 1) for _ in range(r.randint(1, 40))]
         doc = []
-        while len(doc) < 80:
+        while len(doc) < 60:
             a = r.randrange(len(item))
-            doc += item[a : a + r.randint(1, 12)] + [0]
-        got = tiling.tiles(np.array(doc), np.array(item), 3)
-        assert all(doc[i : i + n] == item[j : j + n] and n >= 3 for i, j, n in got)
-        marks = [j + x for _, j, n in got for x in range(n)]
-        assert len(marks) == len(set(marks)) and len(marks) >= 0.8 * brute_tiles(doc, item, 3)
+            doc += item[a : a + r.randint(1, 12)] + [0] * r.randint(0, 1)
+        least = r.choice([1, 2, 3, 5])
+        if least <= len(item):
+            assert tiling.tiles(np.array(doc), np.array(item), least) == brute_tiles(doc, item, least)
+
+
+def test_contaminations_equal_brute_force(spark):
+    items, texts = shuffled_texts(random.Random(4), 25, 60)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").repartition(3)
+    got = {(x.doc_id, x.item_id): (round(x.coverage, 9), x.n_tiles, x.longest_tile, x.first_word) for x in tiling.contaminations(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            found = brute_tiles(t, x, min(5, len(x)))
+            if sum(m[2] for m in found) / len(x) >= 0.6:
+                want[d, i] = (round(sum(m[2] for m in found) / len(x), 9), len(found), max(m[2] for m in found), min(m[0] for m in found))
+    assert len(want) > 50 and got == want
+
+
+def test_repetitive_texts_are_tiled_in_time():
+    begun = time.perf_counter()
+    same = np.ones(20_000, np.int64)
+    assert tiling.tiles(same, same[:3000], 5) == [(0, 0, 3000)]
+    assert time.perf_counter() - begun < 30
 
 
 def test_empty_tables(spark):
