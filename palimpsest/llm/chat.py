@@ -2,11 +2,11 @@ r"""Chat formatting with offset-aligned loss masks (operator 6).
 
 A conversation is rendered whole, ``### Role: text</turn>`` per turn. Backslashes and the
 template's own marks inside texts get a backslash, so the rendering can be read back. It is
-encoded once with offsets; the spans of assistant texts, sorted, are intersected with the
-token spans by binary search, and the tokens found form the loss mask.
+encoded once, the bytes of its tokens giving their offsets; the spans of assistant texts, sorted,
+are intersected with the token spans by binary search, and the tokens found form the loss mask.
 
 Rows of a conversation are ordered by turn, then role, then text; repeated rows are turns of
-their own. A null text or role is empty; rows without a conv_id form one conversation.
+their own. A null text or role is empty; each row without a conv_id is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from tokenizers import Tokenizer, pre_tokenizers
 
 from palimpsest.llm._base import map_rows, table
+from palimpsest.llm.bpe import Codec, codec_of
 
 NAME = "op6_chat_format"
 VOCAB = "byte_bpe_50k.json"
@@ -33,6 +33,8 @@ ROLES = {v: k for k, v in TITLES.items()}
 SPECIAL = re.compile(r"\\|###|</turn>")
 SPECIAL_ROLE = re.compile(r"\\|###|</turn>|:")
 ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
+#: Characters of rendered conversations that are encoded at once.
+AT_ONCE = 1_000_000
 MARKS = re.compile(r"\\(?:\\|###|</turn>|:)|### |: |</turn>\n")
 
 
@@ -75,13 +77,36 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return turns
 
 
-def token_ranges(offsets: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """For each span, the tokens [first, end) that share a character with it."""
-    if not len(offsets):
-        return [(0, 0)] * len(spans)
-    first = np.searchsorted(offsets[:, 1], [s for s, _ in spans], "right")
-    end = np.searchsorted(offsets[:, 0], [e for _, e in spans], "left")
-    return [(int(a), int(b)) if e > s else (int(a), int(a)) for a, b, (s, e) in zip(first, end, spans)]
+def token_ranges(ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each span, the tokens [first, end) that share a place with it; tokens lie end to end."""
+    first = np.searchsorted(ends, [s for s, _ in spans], "right")
+    last = np.searchsorted(ends, [e for _, e in spans], "left") + 1
+    return [(int(a), int(b)) if e > s else (int(a), int(a)) for a, b, (s, e) in zip(first, last, spans)]
+
+
+def masked(codec: Codec, sizes: np.ndarray, chats: list[tuple[str, list]]) -> list[tuple[list, list, list]]:
+    """(ids, loss tokens, loss spans) of rendered conversations with the spans of their assistant texts.
+
+    Tokens are runs of bytes, so spans are compared as bytes and told in code points.
+    """
+    out = []
+    for ids, (text, spans) in zip(codec.encode_batch([t for t, _ in chats]), chats):
+        ends = np.cumsum(sizes[np.array(ids, dtype=np.int64)])
+        if text.isascii():
+            at = lambda c: c
+            back = at
+        else:
+            starts = np.cumsum([0, *map(len, map(str.encode, text))]) if len(spans) > 8 else None
+            at = (lambda c: int(starts[c])) if starts is not None else (lambda c: len(text[:c].encode()))  # noqa: B023
+            raw = text.encode()
+            back = lambda b: len(raw[:b].decode("utf-8", "ignore"))  # noqa: B023, E731
+        wide = [(at(s), at(e)) for s, e in spans]
+        ranges = token_ranges(ends, wide) if len(ids) else [(0, 0)] * len(spans)
+        covered = []
+        for (s, e), (a, b) in zip(wide, ranges):
+            covered.append((back(max(s, int(ends[a - 1]) if a else 0)), back(min(e, int(ends[b - 1])))) if b > a else (back(s), back(s)))
+        out.append((ids, ranges, covered))
+    return out
 
 
 def format_chats(df: DataFrame, vocab_path: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -95,48 +120,40 @@ def format_chats(df: DataFrame, vocab_path: str | None = None, keep_ids: bool =
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
+        codec = codec_of(path)
+        sizes = np.zeros(max(codec.bytes) + 1, dtype=np.int64)
+        for i, b in codec.bytes.items():
+            sizes[i] = len(b)
         pairs = lambda xs: [{"first": a, "end": b} for a, b in xs]
 
-        def made(conv, turns):
-            rendered, spans = render(turns)
-            code = tok.encode(rendered, add_special_tokens=False)
-            offsets = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
-            ranges = token_ranges(offsets, spans)
-            covered = [(max(s, int(offsets[a, 0])), min(e, int(offsets[b - 1, 1]))) if b > a else (s, s) for (s, e), (a, b) in zip(spans, ranges)]
-            return [conv, rendered, pairs(covered), pairs(ranges)] + [code.ids] * keep_ids
-
-        def packed(rows):
+        def packed(convs, chats):
+            rows = [[c, text, pairs(spans), pairs(tokens)] + [ids] * keep_ids for c, (text, _), (ids, tokens, spans) in zip(convs, chats, masked(codec, sizes, chats))]
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-        conv, turns, rows, size = None, [], [], 0
+        conv, turns, convs, chats, size = None, [], [], [], 0
         for batch in batches:
             for c, role, text in zip(*(x.to_pylist() for x in batch.columns)):
-                if turns and c != conv:
-                    rows.append(made(conv, turns))
+                if turns and (c is None or c != conv):
+                    chats.append(render(turns))
+                    convs.append(conv)
                     turns = []
-                    size += len(rows[-1][1])
-                    if size > 1_000_000:
-                        yield packed(rows)
-                        rows, size = [], 0
+                    size += len(chats[-1][0])
+                    if size > AT_ONCE:
+                        yield packed(convs, chats)
+                        convs, chats, size = [], [], 0
                 conv = c
                 turns.append((role, text))
         if turns:
-            rows.append(made(conv, turns))
-        if rows:
-            yield packed(rows)
+            chats.append(render(turns))
+            convs.append(conv)
+        if chats:
+            yield packed(convs, chats)
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return (
-        df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .select("conv_id", "role", "text")
-        .mapInArrow(run, ddl)
-    )
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
+    # Rows without a conversation are dealt over all tasks.
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
+    return rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, ddl)
 
 
 #: The conversation that the query adds: its texts look like the template's own marks.
@@ -163,8 +180,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TURNS = f"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{HARD}' UNION ALL SELECT -7, 1, 'assistant', '{HARD}'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{HARD}', NULL UNION ALL SELECT -7, 1, 'assistant', '{HARD}', NULL
 ), e AS (
   SELECT *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>') AS body FROM c
 )
@@ -176,5 +193,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(body) + length(role) + 4 + 2 + 8
     + CASE WHEN role IN ('user', 'assistant', 'system') THEN 0 ELSE 1 END) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
