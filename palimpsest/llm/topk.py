@@ -1,7 +1,9 @@
 """Exact top-k search by columnar branch and bound (operator 1).
 
-Queries and candidates meet in cells: a block of queries times a block of candidates, both of
-bounded size, so that no task grows with the input. In a cell the candidates lie in vertical
+Queries are first scored against a bounded set, the candidates of the largest norms: the k-th
+score found there is a bar that the answer can't lie below. Then queries and candidates meet in
+cells: a block of queries times a block of candidates, both bounded by rows and by components,
+so that no task grows with the input or with the length of vectors. In a cell the candidates lie in vertical
 layout, a row per dimension, largest dimensions first and candidates by falling norm. Scores
 are accumulated block by block of dimensions; after each block the norms of what remains bound
 every score from above (Cauchy-Schwarz), and candidates that no query still needs are
@@ -28,8 +30,10 @@ from palimpsest.llm._base import table
 NAME = "op1_topk_search"
 K = 20
 EVERY = 20
-#: Most queries and candidates in a cell.
-MOST_QUERIES, MOST_ROWS = 32_768, 65_536
+#: Most queries and candidates in a cell, and most components of either.
+MOST_QUERIES, MOST_ROWS, MOST_COMPONENTS = 32_768, 65_536, 1 << 22
+#: Candidates that set the first bar.
+PILOT = 2048
 #: Rows of queries and of candidates worked on at once, and dimensions accumulated at once.
 QUERY_ROWS, TILE, BLOCK = 128, 2048, 16
 #: Below this share of surviving pairs, pairs are carried on one by one.
@@ -48,8 +52,11 @@ def _rest(x: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
     return [np.sqrt(sq[:, c:].sum(axis=1)) * (1 + 1e-9) for c in cuts]
 
 
-def search(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, score): the k best candidates of each query, ties to smaller ids."""
+def search(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, id, score): the k best candidates of each query, ties to smaller ids.
+
+    Candidates whose score is below ``least`` of a query may be left out.
+    """
     kind = _kind(q, c)
     by_mass = np.argsort(-np.square(c.astype(np.float64)).sum(axis=0), kind="stable")
     by_norm = np.argsort(-np.square(c.astype(np.float64)).sum(axis=1), kind="stable")
@@ -62,7 +69,7 @@ def search(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k:
     for a in range(0, len(q), QUERY_ROWS):
         z = min(a + QUERY_ROWS, len(q))
         n, own = z - a, q_id[a:z]
-        bar = np.full(n, -np.inf)
+        bar = np.full(n, -np.inf) if least is None else least[a:z].astype(np.float64)
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         for t in range(0, columns.shape[1], TILE):
             cols = np.arange(t, min(t + TILE, columns.shape[1]))
@@ -117,13 +124,30 @@ def _cell(k: int):
         x = rows["vector"].combine_chunks()
         x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
         asks = rows["asks"].to_numpy(zero_copy_only=False)
+        least = rows["bar"].to_numpy(zero_copy_only=False)[asks]
         q_id = ids[asks]
-        i, found, score = search(x[asks], q_id, x[~asks], ids[~asks], k)
+        i, found, score = search(x[asks], q_id, x[~asks], ids[~asks], k, least)
         return pa.table({"query_id": pa.array(q_id[i], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
     return f
 
 
+def _meet(q: DataFrame, c: DataFrame, across: int, down: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): at least the k best of each query, from ``across`` x ``down`` cells."""
+    block = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    none = F.lit(float("-inf"))
+    cells = c.select("*", none.alias("bar"), block(across, 1).alias("across"), every(down).alias("down"), F.lit(False).alias("asks")).unionByName(
+        q.select("*", block(down, 2).alias("down"), every(across).alias("across"), F.lit(True).alias("asks"))
+    )
+    return cells.groupBy("dims", "across", "down").applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products, exactly.
 
@@ -132,17 +156,16 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, id_col: str = "vec_id
     spark = rows.sparkSession
     pick = lambda df: df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dims"))
     q, c = pick(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.min_by("dims", "vector").alias("dims")), pick(rows)
-    n, m = c.count(), queries.count()
-    wide = min(MOST_ROWS, max(2048, -(-n // (2 * spark.sparkContext.defaultParallelism))))
-    across, down = max(1, -(-n // wide)), max(1, -(-m // MOST_QUERIES))
-    block = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    cells = c.select("*", block(across, 1).alias("across"), every(down).alias("down"), F.lit(False).alias("asks")).unionByName(
-        q.select("*", block(down, 2).alias("down"), every(across).alias("across"), F.lit(True).alias("asks"))
-    )
-    found = cells.groupBy("dims", "across", "down").applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, longest = c.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(1))).first()
+    m = queries.count()
+    fit = max(1, MOST_COMPONENTS // max(1, longest))
+    wide = min(MOST_ROWS, fit, max(2048, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    across, down = max(1, -(-n // wide)), max(1, -(-m // min(MOST_QUERIES, fit)))
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    pilot = c.orderBy(norm.desc(), "vec_id").limit(min(PILOT, fit))
+    bars = _first(_meet(q.withColumn("bar", F.lit(float("-inf"))), pilot, 1, down, k), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
+    barred = q.join(bars, "vec_id", "left").select("vec_id", "vector", "dims", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    return _first(_meet(barred, c, across, down, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def whole(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
