@@ -5,6 +5,8 @@ other character, so no merge crosses such a cut and counts add up. Within a cut,
 gives the best adjacent pair, a linked list joins its neighbours, and the count is the
 number of first symbols less the number of merges. No ids are made.
 
+A model that is no byte-pair model, or that normalizes texts, is refused.
+
 Nulls and empty texts count 0 tokens. Repeated rows are counted each by itself.
 """
 
@@ -39,6 +41,10 @@ class Counter:
             if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))
         }
         self.by_bytes = any(sp.is_byte(i) for i in ids)
+        if sp.normalize("ﬁ  ½ e\u0301 ") != f"{MARK}ﬁ{MARK}{MARK}½{MARK}e\u0301{MARK}":
+            raise ValueError(f"{path}: a model that changes texts before it cuts them can't be counted by word")
+        if any(not r.is_integer() for r in self.rank.values()):
+            raise ValueError(f"{path}: the pieces have no ranks: not a byte-pair model")
         if any(MARK in p.lstrip(MARK) or any(c not in self.rank for c in p) for p in self.rank):
             raise ValueError(f"{path}: pieces that cross words or lack a character can't be counted by word")
         self.cache = Recent()
