@@ -60,7 +60,7 @@ class Codec:
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.cache, self.parts = Recent(250_000), Recent(250_000)
+        self.cache, self.parts = Recent(120_000), Recent(120_000)
 
     def encode_words(self, words: list[str]) -> list[tuple]:
         """Ids of each word, all words being merged together over one pair index."""
