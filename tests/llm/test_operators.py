@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from palimpsest.llm import bpe, chat, licenses, neardup, quality, sitetree, tiling, tokencount, topk, warc
 from palimpsest.sources.store import Store, shared_dir
@@ -114,10 +114,26 @@ def test_search_is_exact(n, d, most):
     pick = r.choice(n, min(30, n), False)
     i, found, score = topk.search(c[pick], ids[pick], c, ids, 20)
     s = c[pick] @ c.T
+    kth = np.array([sorted(s[a, b] for b in range(n) if ids[b] != ids[pick][a])[-20:][0] for a in range(len(pick))], dtype=float)
+    barred = topk.search(c[pick], ids[pick], c, ids, 20, kth)
+    assert [x.tolist() for x in barred] == [x.tolist() for x in (i, found, score)]
     want = [(a, x, -y) for a in range(len(pick)) for y, x in sorted((-s[a, b], ids[b]) for b in range(n) if ids[b] != ids[pick][a])[:20]]
     assert list(zip(i, found, score)) == want
 
 
+def test_cells_are_bounded_by_components(spark, monkeypatch):
+    """Long vectors make small cells; the answer is the same from many of them."""
+    sizes = []
+    meet = topk._meet
+    monkeypatch.setattr(topk, "MOST_COMPONENTS", 400)
+    monkeypatch.setattr(topk, "_meet", lambda q, c, across, down, k: sizes.append((across, down)) or meet(q, c, across, down, k))
+    r = random.Random(1)
+    rows = [(i, [r.randint(-9, 9) for _ in range(40)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = topk.top_k(v.where("vec_id % 3 = 0"), v, 5)
+    assert {tuple(x) for x in got.collect()} == brute_top(rows, 3, 5) and sizes == [(1, 2), (6, 2)]
+
+
 def test_archive_round_trip(spark):
     big, small = "é" * 600, "x" * 999
     rows = [(1, "http://a/1", big), (2, None, big), (9, "http://a/9\r\nX: y", big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (9, "http://a/9", big), (None, "u", big), (7, "u", "a\r\n\r\nb")]
@@ -153,16 +169,29 @@ def test_chat_template_is_reversible():
 
 
 def test_chat_masks_cover_assistant_texts(spark):
-    rows = [(1, 1, "assistant", " héllo 🙂👩‍👩‍👧 "), (1, 0, "user", chat.HARD), (1, 2, None, None), (2, 0, "assistant", chat.HARD), (2, 0, "assistant", chat.HARD), (3, 0, "assistant", ""), (4, None, "system", "a" * 5000), (None, 0, "user", "<|endoftext|>")]
-    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, rendered int")).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
+    rows = [(1, 1, "assistant", " héllo 🙂👩‍👩‍👧 "), (1, 0, "user", chat.HARD), (1, 2, None, None), (2, 0, "assistant", chat.HARD), (2, 0, "assistant", chat.HARD), (3, 0, "assistant", ""), (4, None, "system", "a" * 5000)]
+    rows += [(5, i, "assistant" if i % 2 else "user", f"é{i} 🙂") for i in range(30)]
+    loose = [("user", "<|endoftext|>"), ("assistant", "x"), ("assistant", "x"), (None, None)]
+    df = spark.createDataFrame([(*x, 1) for x in rows] + [(None, 0, *x, 1) for x in loose], "conv_id long, turn long, role string, text string, rendered int")
+    out = chat.format_chats(df).collect()
+    got = {r.conv_id: r for r in out if r.conv_id is not None}
+    assert set(got) == {1, 2, 3, 4, 5}
+    own = [chat.parse(r.rendered) for r in out if r.conv_id is None]
+    assert sorted(own) == sorted([(ro or "", x or "")] for ro, x in loose)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
+    for r in out:
+        code = tok.encode(r.rendered, add_special_tokens=False)
+        assert list(r.token_ids) == code.ids
+        spans = chat.render(chat.parse(r.rendered))[1]
+        assert [(s.first, s.end) for s in r.loss_spans] == spans
+        for (s, e), t in zip(spans, r.loss_tokens):  # every token that shares a character with the text, by trying all
+            assert set(range(t.first, t.end)) == {i for i, (a, b) in enumerate(code.offsets) if a < e and b > s and e > s}
     for c, r in got.items():
         turns = sorted(((t if t is not None else -1, ro or "", x or "") for k, t, ro, x in rows if k == c))
         assert chat.parse(r.rendered) == [(ro, x) for _, ro, x in turns]
         said = "".join(chat.unescape(r.rendered[s.first : s.end]) for s in r.loss_spans)
         assert said == "".join(x for _, ro, x in turns if ro == "assistant")
-        masked = sum(t.end - t.first for t in r.loss_tokens)
-        assert masked <= len(r.token_ids)
 
 
 def brute_near(texts, n, percent):
@@ -298,6 +327,52 @@ def test_trees_walk_like_a_loop():
     assert ((m.score(x) > 0.5) == y).mean() > 0.9
 
 
+def plain_fit(x, y, trees, depth, bins, rate, ridge, least):
+    """Boosted trees with plain loops: each node tries every cut of every statistic."""
+    n, width = len(x), len(x[0])
+    edges = [sorted(set(np.quantile([r[f] for r in x], [b / bins for b in range(1, bins)]))) for f in range(width)]
+    mean = sum(y) / n
+    prior = math.log(mean / (1 - mean))
+    raw = [prior] * n
+
+    def grow(rows, g, h, level):
+        G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        if level == depth:
+            for i in rows:
+                raw[i] += -rate * G / (H + ridge)
+            return
+        best = (1e-9, None)
+        for f in range(width):
+            for cut in edges[f]:
+                left = [i for i in rows if x[i][f] <= cut]
+                gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                if hl < least or H - hl < least:
+                    continue
+                gain = gl**2 / (hl + ridge) + (G - gl) ** 2 / (H - hl + ridge) - G**2 / (H + ridge)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, cut))
+        if best[1] is None:
+            return grow(rows, g, h, level + 1)
+        f, cut = best[1]
+        for side in ([i for i in rows if x[i][f] <= cut], [i for i in rows if x[i][f] > cut]):
+            grow(side, g, h, level + 1)
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in raw]
+        grow(range(n), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 0)
+    return raw
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fit_equals_plain_boosting(seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(90, 4)).round(seed + 1)  # with ties
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.3)).astype(float)
+    settings = {"trees": 6, "depth": 3, "bins": 8, "rate": 0.3, "ridge": 1.0, "least": 0.5}
+    model = quality.fit(x, y, **settings)
+    assert np.allclose(model.raw(x), plain_fit(x.tolist(), y.tolist(), **settings), atol=1e-9)
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">x</a></ul></nav>'
     '<div class="ad">buy</div><article><h1>A &amp;amp; B</h1><p><b>one<br>two<p>three\n\n four&nbsp;five<form><input>q</form><div class="comments"><p>nice</div></article><aside>s</aside><footer>f</footer>'
