@@ -195,6 +195,7 @@ def _mixed(store: Store, members: DataFrame, roots: DataFrame) -> DataFrame:
     now = members.select("bucket", "key", "n").join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     now = store.save(now.select("bucket", "key", "n", F.coalesce("root", "key").alias("comp")))
     several = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    several = store.save(several)  # joins of two written tables may be split at a hot bucket
     return store.save(now.join(several, "bucket", "left_semi"))
 
 
@@ -204,7 +205,7 @@ def apart_pairs(store: Store, mixed: DataFrame, sets: DataFrame, percent: int, g
     A bucket of more than ``group`` members is cut into blocks by hash, and every member goes to
     the groups of its block with each block: no group holds more than about two blocks.
     """
-    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    sizes = store.save(mixed.groupBy("bucket").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("key", F.lit(4)), F.col("blocks")).cast("int").alias("mine")
     placed = store.save(mixed.join(sizes, "bucket").join(sets.select("key", "sketch"), "key").select("bucket", "blocks", mine, "key", "n", "comp", "sketch"))
     rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -252,7 +253,7 @@ def components(
     mixed = _mixed(store, members, roots)
     if not mixed.isEmpty():
         count = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("key", F.lit(s)).alias("h"), "key", "n")).alias(f"c{s}") for s in (1, 2, 3)])
-        most = count.groupBy("bucket").agg(F.max(F.struct("size", "comp", "c1", "c2", "c3")).alias("m"))
+        most = store.save(count.groupBy("bucket").agg(F.max(F.struct("size", "comp", "c1", "c2", "c3")).alias("m")))
         outside = mixed.join(most, "bucket").where(F.col("comp") != F.col("m.comp"))
         pairs = outside.select(F.col("key").alias("a"), "n", F.explode(F.array_distinct(F.array(*[F.struct(f"m.c{s}.key", f"m.c{s}.n") for s in (1, 2, 3)]))).alias("c"))
         tried = store.save(pairs.where(_near("n", "c.n", percent)).select("a", F.col("c.key").alias("b")).distinct())
@@ -265,7 +266,7 @@ def components(
 
     member = classes.select("key", "id").join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     member = store.save(member)
-    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = store.save(member.groupBy("root").agg(F.min("id").alias("component_id")))
     found = store.save(member.join(least, "root").select("key", "component_id"))
     store.keep(signed, found)
     # Rows of one doc_id share a component, be their own text empty or not.
