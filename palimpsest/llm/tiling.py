@@ -188,12 +188,12 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _doc_seeds(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, seeds) of rows (key, text): hashes of all runs of each of ``lengths`` words."""
+    """(key, seeds) of rows (key, text): distinct hashes of the runs of each of ``lengths`` words."""
 
     def make():
         def f(keys, texts):
             cut = [words_of(t) for t in texts]
-            return keys, pa.array([np.concatenate([seed_hashes(w, n) for n in lengths]) for w in cut], pa.list_(pa.int64()))
+            return keys, pa.array([np.unique(np.concatenate([seed_hashes(w, n) for n in lengths])) for w in cut], pa.list_(pa.int64()))
 
         return f
 
