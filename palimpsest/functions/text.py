@@ -33,6 +33,16 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), TOKEN_BREAK), lambda t: t != "")
 
 
+def pieces(c: Column) -> Column:
+    """What lies between breaks, in order; an empty piece may stand at either end."""
+    return F.split(fold(F.coalesce(c, F.lit(""))), TOKEN_BREAK)
+
+
+def token_count(c: Column) -> Column:
+    """The number of index terms, counted without listing them."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+")).cast("long")
+
+
 def query_terms(c: Column) -> Column:
     """Distinct terms of a query in order of appearance, without stopwords."""
     words = F.split(F.replace(c, F.lit('"'), F.lit(" ")), r"[ \t\r\n]+")

@@ -105,6 +105,37 @@ def consolidate(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
     return rows.groupBy("scope_user", "entity_key").applyInPandas(f, schema)
 
 
+def revise(found: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(scope_user, entity_key, id, ..., copy_of, supersedes, demotes) for new facts, set by set.
+
+    ``found`` are facts with their columns, ``known`` the live facts of the same users (scope_user,
+    entity_key, id, t_event, lineage, fact). In order of time, a near duplicate of a fact of its
+    key is dropped, and any other supersedes the latest. A group is the facts of one key and user.
+    """
+    shared = ("scope_user", "entity_key", "id", "t_event", "lineage", "fact")
+    both = known.select(*shared, F.lit(True).alias("old")).unionByName(found.select(*shared, F.lit(False).alias("old")))
+    both = both.withColumn("words", F.array_distinct(T.words(F.col("fact")))).drop("fact")
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["old", "t_event", "id"], ascending=[False, True, True]).to_dict("records")
+        seen: list[tuple[frozenset, str]] = []
+        latest, out = None, []
+        for r in rows:
+            words = frozenset(r["words"])
+            copy = next((i for w, i in seen if words and w and len(words & w) >= threshold * len(words | w)), None) if not r["old"] else None
+            if not r["old"]:
+                before = None if copy or latest is None else latest["id"]
+                out.append((r["scope_user"], r["entity_key"], r["id"], copy, before, [*(latest["lineage"] if latest["lineage"] is not None else ()), latest["id"]] if before else []))
+            if copy is None:
+                seen.append((words, r["id"]))
+                latest = r if latest is None or (r["t_event"], r["id"]) >= (latest["t_event"], latest["id"]) or not r["old"] else latest
+        return pd.DataFrame(out, columns=["scope_user", "entity_key", "id", "copy_of", "supersedes", "demotes"])
+
+    ddl = "scope_user string, entity_key string, id string, copy_of string, supersedes string, demotes array<string>"
+    wanted = both.join(found.select("scope_user", "entity_key").distinct(), ["scope_user", "entity_key"], "left_semi")
+    return wanted.groupBy("scope_user", "entity_key").applyInPandas(f, ddl)
+
+
 def capped_source(facts: DataFrame, turns: DataFrame) -> DataFrame:
     """A fact is as trusted as the least trusted turn of its session."""
     least = turns.groupBy("prov_session").agg(F.min("source").alias("source"))

@@ -20,11 +20,18 @@ OP = "op string, id string, new string, at long, deadline long, flag boolean, ex
 
 
 def merge(*logs: DataFrame) -> DataFrame:
-    """One log of several that may overlap: an event is known by (ns, seq, ordinal)."""
+    """One log of several that may overlap. Repeated events need no removal: a fold takes the first
+    and last of events by their place, which copies do not change."""
     out = logs[0]
     for log in logs[1:]:
         out = out.unionByName(log)
-    return out.dropDuplicates(["ns", "seq", "ordinal"])
+    return out
+
+
+def events(log: DataFrame) -> DataFrame:
+    """(ns, seq, ordinal, id, kind) of each event once: it is known by (ns, seq, ordinal)."""
+    rows = log.select("ns", "seq", "ordinal", "id", F.coalesce("op.op", F.lit("write")).alias("kind"))
+    return rows.dropDuplicates(["ns", "seq", "ordinal"])
 
 
 def writes(records: DataFrame, seq: Column) -> DataFrame:
@@ -41,14 +48,15 @@ def ops(df: DataFrame, kind: str, seq: Column, **fields: Column) -> DataFrame:
     return df.select("ns", seq.cast("long").alias("seq"), F.lit(1).cast("long").alias("ordinal"), "id", empty.alias("record"), op.alias("op"))
 
 
-def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
-    """The live records. Due hard deletes erase what was written before them; a later write
+def _folded(log: DataFrame, now: int, force: bool = False) -> DataFrame:
+    """The live records, and whether a hard delete is still to come (doomed). Due hard deletes erase what was written before them; a later write
     survives. A supersede overwrites, a tombstone sets the end only where none is set."""
     o, place = F.col("op"), F.struct("seq", "ordinal")
     due = (o["op"] == "hard_delete") & (F.lit(force) | (F.coalesce(o["deadline"], F.lit(0)) <= now))
     # One shuffle by id: the window and the aggregate share it.
     w = Window.partitionBy("ns", "id")
     e = log.withColumn("place", place).withColumn("written", F.max(F.when(F.col("record").isNotNull(), F.col("place"))).over(w)).withColumn("erased", F.max(F.when(due, F.col("place"))).over(w))
+    e = e.withColumn("doomed", F.max((o["op"] == "hard_delete") & (o["deadline"] > now)).over(w))
     e = e.where((F.col("place") >= F.col("written")) & (F.col("erased").isNull() | (F.col("erased") < F.col("written"))))
     self_made = F.coalesce(o["new"] == F.col("id"), F.lit(False))
     sup, tomb, quar = (o["op"] == "supersede") & ~self_made, o["op"] == "tombstone", o["op"] == "quarantine"
@@ -56,6 +64,7 @@ def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
     first = lambda what, when: F.min_by(F.struct(what.alias("v")), F.when(when, F.col("place")))["v"]
     state = e.groupBy("ns", "id").agg(
         F.first("record", ignorenulls=True).alias("record"),
+        F.coalesce(F.max("doomed"), F.lit(False)).alias("doomed"),
         last(F.coalesce(o["at"], F.lit(now)), sup).alias("sup_at"),
         last(o["new"], sup).alias("sup_new"),
         F.max(sup).alias("sup"),
@@ -73,7 +82,12 @@ def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
         "superseded_by": F.when(F.coalesce("sup", F.lit(False)), F.col("sup_new")).otherwise(F.col("superseded_by")),
         "quarantined": quarantined,
     }
-    return r.where(~gone).select(*[new.get(f.name, F.col(f.name)).alias(f.name) for f in record_schema()])
+    return r.where(~gone).select(*[new.get(f.name, F.col(f.name)).alias(f.name) for f in record_schema()], "doomed")
+
+
+def fold(log: DataFrame, now: int, force: bool = False) -> DataFrame:
+    """The live records of a log."""
+    return _folded(log, now, force).drop("doomed")
 
 
 def pending(log: DataFrame, now: int) -> DataFrame:
@@ -93,10 +107,9 @@ def carry(log: DataFrame, now: int) -> DataFrame:
     return writes(live, F.col("written.seq")).unionByName(later.select(*log.columns))
 
 
-def export(records: DataFrame, log: DataFrame, now: int) -> DataFrame:
-    """Lines of JSON, oldest ingestion first: what is neither deleted nor about to be erased."""
-    kept = records.join(pending(log, now).select("ns", "id"), ["ns", "id"], "left_anti").where(~F.col("deleted"))
-    return kept.select("t_ingested", "id", F.to_json(F.struct(*[f.name for f in record_schema()])).alias("line"))
+def export(log: DataFrame, now: int) -> DataFrame:
+    """Lines of JSON, by time of ingestion: what is neither deleted nor about to be erased."""
+    return _folded(log, now).where(~F.col("doomed")).select("t_ingested", "id", F.to_json(F.struct(*[f.name for f in record_schema()])).alias("line"))
 
 
 def history(records: DataFrame, starts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.operators.lanes import ordered, top
+from palimpsest.operators.lanes import content_key, ordered, top
 from palimpsest.plans import planner
 
 # Fixed values of the scoring rule.
@@ -23,13 +23,13 @@ SWEEP_LIMIT = 10_000
 def fuse(lanes: dict[str, DataFrame], queries: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, id, score, lanes, rank) from lanes of (query_id, id, rank)."""
     hits = reduce(DataFrame.unionByName, [df.select("query_id", "id", "rank", F.lit(n).alias("lane")) for n, df in lanes.items()])
-    plans = F.broadcast(queries.select("query_id", planner.classify(F.col("text")).alias("qclass")))
+    plans = queries.select("query_id", planner.classify(F.col("text")).alias("qclass"))
     hits = hits.join(plans, "query_id").withColumn("part", planner.weight(F.col("qclass"), F.col("lane")) / (RRF_K + F.col("rank")))
     sums = hits.groupBy("query_id", "id").agg(F.sum("part").alias("raw"), F.array_sort(F.collect_set("lane")).alias("lanes"))
-    keys = records.select("id", "kind", "source", "t_event", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_key"))
+    keys = records.select("id", "kind", "source", "t_event", "content")
     kind = reduce(lambda c, kb: F.when(F.col("kind") == kb[0], kb[1]).otherwise(c), KIND_BONUS, F.lit(1.0))
     bonus = F.greatest(1 + F.greatest(TRUST * (F.col("source") - 3), F.lit(0.0)), kind)
-    scored = keys.join(F.broadcast(sums), "id").withColumn("score", F.round(F.col("raw") * bonus, 9))
+    scored = sums.join(keys, "id").withColumn("score", F.round(F.col("raw") * bonus, 9)).withColumn("content_key", content_key())
     return top(scored, limit, *ordered(F.col("score"))).select("query_id", "id", "score", F.array_join("lanes", ",").alias("lanes"), "rank")
 
 
@@ -47,13 +47,12 @@ def packing_order(fused: DataFrame, records: DataFrame, now: int | None = None,
     """
     facts = "kind", "t_event", "lineage", "demotes", "content"
     c = fused.select("query_id", "id", "score", F.col("rank").alias("input")).join(records.select("id", *facts), "id")
+    # The newest candidate counts even if it is left out below.
+    ref = F.lit(now) if now is not None else F.max("t_event").over(Window.partitionBy("query_id"))
+    c = c.withColumn("ref", ref)
     said = c.where("kind = 'fact'").select("query_id", F.explode(F.array_union(F.coalesce("lineage", F.array().cast("array<string>")), F.coalesce("demotes", F.array().cast("array<string>")))).alias("id"), F.lit(True).alias("said")).distinct()
     c = c.join(said, ["query_id", "id"], "left").where(~((F.col("kind") == "raw_event") & F.coalesce("said", F.lit(False))))
-    ref = F.lit(now) if now is not None else F.max("t_event").over(Window.partitionBy("query_id"))
-    # The newest candidate counts even if it is left out above.
-    if now is None:
-        newest = fused.select("query_id", "id").join(records.select("id", "t_event"), "id").groupBy("query_id").agg(F.max("t_event").alias("newest"))
-        c, ref = c.join(newest, "query_id"), F.col("newest")
+    ref = F.col("ref")
     c = c.join(judged.select("query_id", "id", "p"), ["query_id", "id"], "left") if judged is not None else c.withColumn("p", F.lit(None).cast("double"))
     own = recency_boost(F.col("score"), F.col("t_event"), ref) * F.when(F.col("kind") == "fact", FACT_BOOST).otherwise(1.0)
     c = c.withColumn("pack_score", F.round(F.when(F.col("p").isNotNull(), recency_boost(F.col("p"), F.col("t_event"), ref)).otherwise(own), 9))
@@ -63,6 +62,13 @@ def packing_order(fused: DataFrame, records: DataFrame, now: int | None = None,
     return c.select("query_id", "id", "pack_score", F.row_number().over(w).cast("long").alias("place"))
 
 
+def shortlist(first: DataFrame, then: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, rank): the hits of one lane, then those of another that it lacks, ``most`` per query."""
+    both = first.select("query_id", "id", F.lit(0).alias("lane"), F.col("rank").alias("n")).unionByName(then.select("query_id", "id", F.lit(1).alias("lane"), F.col("rank").alias("n")))
+    best = both.groupBy("query_id", "id").agg(F.min(F.struct("lane", "n")).alias("at"))
+    return top(best, most, "at").select("query_id", "id", "rank")
+
+
 def gate(judged: DataFrame, least: float, keep: int = 3) -> DataFrame:
     """Candidates the judge finds relevant; the best ``keep`` if it finds none."""
     q = Window.partitionBy("query_id")

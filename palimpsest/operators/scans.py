@@ -77,6 +77,16 @@ def expand(df: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     return df.where(~F.col("deleted")).join(reached, "id", "left_semi")
 
 
+def stats(df: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: counts of records by state, and of vectors, with the longest and a model of theirs."""
+    live = ~F.col("deleted")
+    counts = df.agg(
+        F.count_if(live).alias("live"), F.count_if("deleted").alias("tombstones"), F.count_if((F.col("kind") == "fact") & live).alias("facts"),
+        F.count_if(F.col("invalidated_at").isNotNull() & live).alias("superseded"), F.count_if("quarantined").alias("quarantined"), F.count_if(F.col("kind") == "link").alias("links"),
+    )
+    return counts.crossJoin(vectors.agg(F.count("*").alias("vectors"), F.max(F.size("vec")).cast("long").alias("dim"), F.max("model").alias("model")))
+
+
 def stale_vectors(df: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """Live records without a vector of the model, short texts first."""
     v = vectors.select("id", F.col("model").alias("has"))

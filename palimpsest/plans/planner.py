@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ PROCEDURAL_KINDS = ("raw_event", "procedure", "fact", "summary")
 LANES = ("bm25", "entity", "time", "vector")
 
 
+def plan(query: str) -> dict:
+    """The plan of one query on the driver: class, hits per lane, kinds, and whether recency is asked."""
+    qclass = next((name for name, words in CLASSES if re.search(words, query, re.ASCII)), "exploratory")
+    return {"qclass": qclass, "k": 60 if qclass == "exploratory" else 40, "kinds": PROCEDURAL_KINDS if qclass == "procedural" else None, "recent": bool(re.search(RECENCY, query, re.ASCII))}
+
+
 def classify(text: Column) -> Column:
     out = F.lit("exploratory")
     for name, words in reversed(CLASSES):

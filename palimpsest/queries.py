@@ -11,10 +11,13 @@ from pyspark.sql.window import Window
 from palimpsest.functions import dates
 from palimpsest.functions import text as T
 from palimpsest.functions.visibility import Filter, Scope, fenced, scope_visible, valid_as_of, valid_now, vector_live, visible
-from palimpsest.operators import derive, evaluate, fold, fusion, lanes, packing, policy, scans
+from palimpsest.functions.stem import stemmed
+from palimpsest.operators import derive, evaluate, fold, fusion, lanes, packing, policy, prefix, scans
 from palimpsest.plans import planner
 from palimpsest.sources import model
 from palimpsest.sources.model import DAY, T0
+from palimpsest.sources.store import Store
+from palimpsest.streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,17 +140,38 @@ def fold_events(s, d):
 
 @query("merge_events", f"WITH {FACT} SELECT count(*) + count(superseded_by) + count(CASE WHEN {_n} % 17 = 0 THEN 1 END) + count(CASE WHEN {_n} % 13 = 0 THEN 1 END) + count(CASE WHEN {_n} % 19 = 0 THEN 1 END) + count(CASE WHEN {_again} THEN 1 END) AS n FROM fact")
 def merge_events(s, d):
-    return _log(s, d).agg(F.count("*").alias("n"))
+    return fold.events(_log(s, d)).agg(F.count("*").alias("n"))
+
+
+@query("merged_kinds", f"""WITH {FACT}, k AS (SELECT 'write' AS kind, {_n} AS n FROM fact UNION ALL SELECT 'write', {_n} FROM fact WHERE {_again} UNION ALL SELECT 'supersede', {_n} FROM fact WHERE superseded_by IS NOT NULL
+  UNION ALL SELECT 'tombstone', {_n} FROM fact WHERE {_n} % 17 = 0 UNION ALL SELECT 'quarantine', {_n} FROM fact WHERE {_n} % 13 = 0 UNION ALL SELECT 'hard_delete', {_n} FROM fact WHERE {_n} % 19 = 0)
+  SELECT printf('e%09d', n) AS id, kind, count(*) AS n FROM k GROUP BY 1, 2""")
+def merged_kinds(s, d):
+    return fold.events(_log(s, d)).groupBy("id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("replay_cut", f"WITH {FACT} {_folded}")
 def replay_cut(s, d):
     """A checkpoint in mid-log, made before the deletes and quarantines run out, then the rest:
     pending ops carried on; equals the fold from scratch."""
-    log = _log(s, d)
-    log = log.crossJoin(F.broadcast(log.agg((F.max("seq") / 2).alias("cut"))))
-    first, rest = [log.where(part).drop("cut") for part in ("seq <= cut", "seq > cut")]
-    return fold.fold(fold.carry(first, NOW - 10).unionByName(rest), NOW).select("id", "superseded_by", "invalidated_at", "quarantined")
+    store = Store(s)
+    log = store.save(_log(s, d))
+    cut = log.agg(F.max("seq")).first()[0] // 2
+    first = store.save(fold.carry(log.where(F.col("seq") <= cut), NOW - 10))
+    return fold.fold(first.unionByName(log.where(F.col("seq") > cut)), NOW).select("id", "superseded_by", "invalidated_at", "quarantined")
+
+
+@query("rotate", f"WITH {FACT} {_folded}")
+def rotate(s, d):
+    """Three rotations at growing times: each folds the checkpoint and what came since, and carries what is unsettled."""
+    store = Store(s)
+    log = store.save(_log(s, d))
+    top = log.agg(F.max("seq")).first()[0]
+    kept, last = None, 0
+    for k, cut in enumerate((top // 5, top // 2, top * 9 // 10)):
+        part = log.where((F.col("seq") > last) & (F.col("seq") <= cut))
+        kept, last = store.save(fold.carry(part if kept is None else kept.unionByName(part), NOW - 10 + k)), cut
+    return fold.fold(kept.unionByName(log.where(F.col("seq") > last)), NOW).select("id", "superseded_by", "invalidated_at", "quarantined")
 
 
 @query("compact_forced", f"WITH {FACT} SELECT id FROM fact WHERE NOT ({_n} % 19 = 0 AND NOT {_again}) AND NOT ({_n} % 17 = 0 AND NOT {_again})")
@@ -162,25 +186,15 @@ def purge_due(s, d):
 
 @query("export_visible", f"WITH {FACT} SELECT id, t_ingested FROM fact WHERE {_kept} AND NOT ({_n} % 19 = 0 AND {_n} % 3 = 0)")
 def export_visible(s, d):
-    log = _log(s, d)
-    return fold.export(fold.fold(log, NOW), log, NOW).select("id", "t_ingested")
+    return fold.export(_log(s, d), NOW).select("id", "t_ingested")
 
 
 @query("import_native", f"WITH {REC} SELECT id, 'restored' AS ns, content, t_event FROM rec")
 def import_native(s, d):
-    lines = model.records(s, d).select(F.to_json(F.struct(*[f.name for f in model.record_schema()])).alias("line"))
-    return lines.select(F.from_json("line", model.record_schema()).alias("r")).select("r.*").withColumn("ns", F.lit("restored")).select("id", "ns", "content", "t_event")
-
-
-def foreign(rows: DataFrame) -> DataFrame:
-    """Rows of another system (line: JSON) as facts of the import tier."""
-    g = lambda k: F.get_json_object("line", f"$.{k}")
-    text = F.coalesce(*[F.nullif(g(k), F.lit("")) for k in ("memory", "text", "content", "data")])
-    time = F.coalesce(*[g(k) for k in ("created_at", "timestamp", "t", "time")])
-    number = time.try_cast("double")
-    ms = F.when(number.isNotNull(), F.when(number < 10**12, number * 1000).otherwise(number).cast("long")).otherwise(F.unix_millis(F.try_to_timestamp(time)))
-    user = F.coalesce(g("user_id"), g("metadata.user_id"))
-    return rows.select(text.alias("content"), ms.alias("t_event"), user.alias("scope_user"), F.lit(model.IMPORT).alias("source"), F.lit("fact").alias("kind")).where("content IS NOT NULL")
+    """Lines of an export, written as text files and restored under another namespace."""
+    path = f"{Store(s).path}/export"
+    model.records(s, d).select(F.to_json(F.struct(*[f.name for f in model.record_schema()])).alias("value")).write.text(path)
+    return model.restored(s.read.text(path), "restored").select("id", "ns", "content", "t_event")
 
 
 @query("import_foreign", "SELECT event_type || ' ' || event_id AS content, CASE WHEN event_id % 2 = 0 THEN ((epoch_us(ts) // 1000) // 1000) * 1000 ELSE (epoch_us(ts) // 1000) END AS t_event, 'u' || user_id AS scope_user, 1 AS source, 'fact' AS kind FROM events")
@@ -189,7 +203,7 @@ def import_foreign(s, d):
     text, u = F.concat_ws(" ", "event_type", F.col("event_id").cast("string")), F.concat(F.lit("u"), "user_id")
     a = F.to_json(F.struct(text.alias("memory"), F.floor(F.col("ms") / 1000).alias("created_at"), u.alias("user_id")))
     b = F.to_json(F.struct(F.lit("").alias("memory"), text.alias("data"), F.col("ms").alias("timestamp"), F.struct(u.alias("user_id")).alias("metadata")))
-    return foreign(e.select(F.when(F.col("event_id") % 2 == 0, a).otherwise(b).alias("line")))
+    return model.foreign(e.select(F.when(F.col("event_id") % 2 == 0, a).otherwise(b).alias("line")))
 
 
 @query("import_nested", "SELECT 's' || conv_id AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn, role, text AS content FROM conversations")
@@ -199,13 +213,21 @@ def import_nested(s, d):
     return c.select(F.concat(F.lit("s"), "conv_id").alias("session"), F.posexplode("turns").alias("turn", "t")).select("session", "turn", "t.role", F.col("t.text").alias("content"))
 
 
-@query("audit_log", "SELECT event_id AS n, event_id % 50 <> 0 AS ok FROM events")
+@query("audit_log", """WITH e AS (SELECT user_id, event_id AS n, event_id % 50 <> 0 AND event_id % 83 <> 0 AS ok FROM events)
+  SELECT n, ok, bool_and(ok) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS verified FROM e""")
 def audit_log(s, d):
-    """A chain of hashes per user; every 50th entry was tampered with."""
-    e = model.table(s, d, "events").select(F.col("user_id").alias("ledger"), F.col("event_id").alias("n"), F.concat_ws("|", "event_type", F.col("event_id").cast("string")).alias("body"))
-    e = e.withColumn("h", F.sha2("body", 256))
-    e = e.withColumn("prev", F.coalesce(F.lag("h").over(Window.partitionBy("ledger").orderBy("n")), F.lit("")))
-    return policy.verify_chain(e.withColumn("body", F.when(F.col("n") % 50 == 0, F.lit("forged")).otherwise(F.col("body")))).select("n", "ok")
+    """A sealed chain of entries per user; then every 50th body is forged and every 83rd entry is linked anew."""
+    body = F.concat_ws("|", "event_type", F.col("event_id").cast("string"))
+    rows = model.table(s, d, "events").groupBy(F.col("user_id").alias("ledger")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("n"), body.alias("body")))).alias("rows"))
+    start = F.array().cast("array<struct<n: long, body: string, prev: string, h: string>>")
+
+    def grow(chain, r):  # an entry is sealed over the hash before it, so a ledger is built in order
+        prev = F.coalesce(F.try_element_at(chain, F.lit(-1))["h"], F.lit(""))
+        return F.array_append(chain, F.struct(r["n"].alias("n"), r["body"].alias("body"), prev.alias("prev"), policy.seal(prev, r["body"]).alias("h")))
+
+    e = rows.select("ledger", F.inline(F.aggregate("rows", start, grow)))
+    e = e.withColumn("body", F.when(F.col("n") % 50 == 0, F.lit("forged")).otherwise(F.col("body"))).withColumn("prev", F.when(F.col("n") % 83 == 0, F.lit("0")).otherwise(F.col("prev")))
+    return policy.verify_chain(e).select("n", "ok", "verified")
 
 
 # predicates ------------------------------------------------------------------------------
@@ -284,8 +306,13 @@ def _vector_queries(s, d):
     return model.table(s, d, "embeddings").where("vec_id < 5").select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def _lanes(s, d) -> dict[str, DataFrame]:
-    r, q = model.records(s, d), searches(s)
+def _saved(s, d) -> DataFrame:
+    """The records written once, for queries that read them from several lanes."""
+    return Store(s).save(model.records(s, d))
+
+
+def _lanes(s, d, r: DataFrame | None = None) -> dict[str, DataFrame]:
+    r, q = model.records(s, d) if r is None else r, searches(s)
     return {
         "bm25": lanes.bm25(r, q, ME, 40),
         "entity": lanes.entity(r, q, ME),
@@ -294,6 +321,8 @@ def _lanes(s, d) -> dict[str, DataFrame]:
     }
 
 
+query("bm25_stemmed")(lambda s, d: lanes.bm25(model.records(s, d), searches(s), ME, 40, term_of=stemmed))
+query("vector_ann")(lambda s, d: lanes.approximate(model.records(s, d), model.vectors(s, d), _vector_queries(s, d), ME, 40, 16, 10))
 query("query_terms", f"WITH {Q}, {TERMS} SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM qt")(
     lambda s, d: searches(s).select("query_id", F.posexplode(T.query_terms(F.col("text"))).alias("p", "term")).select("query_id", "term", (F.col("p") + 1).cast("long").alias("rank")))
 query("bm25", f"WITH {BM25} SELECT query_id, id, score, rank FROM bm25")(lambda s, d: _lanes(s, d)["bm25"])
@@ -313,8 +342,14 @@ fs AS (SELECT query_id, id, lanes, round(raw * greatest(1 + greatest(CAST(0.01 A
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t_event DESC, sha256(coalesce(content, '')), id) AS rank FROM fs QUALIFY rank <= 50)"""
 
 
-def _fused(s, d) -> DataFrame:
-    return fusion.fuse(_lanes(s, d), searches(s), model.records(s, d), 50)
+def _fused(s, d, r: DataFrame | None = None) -> DataFrame:
+    r = _saved(s, d) if r is None else r
+    return fusion.fuse(_lanes(s, d, r), searches(s), r, 50)
+
+
+def _packing_order(s, d) -> DataFrame:
+    r = _saved(s, d)
+    return fusion.packing_order(Store(s).save(_fused(s, d, r)), r)
 
 
 query("plan_query", f"WITH {Q}, {PLAN}, l AS (SELECT unnest(['bm25', 'entity', 'time', 'vector']) AS lane) SELECT query_id, qclass, lane, CAST({_weight} AS DOUBLE) AS weight, CASE WHEN qclass = 'exploratory' THEN 60 ELSE 40 END AS k, regexp_matches(text, '{planner.RECENCY}') AS use_time FROM plan, l")(
@@ -329,25 +364,26 @@ simple("recency_boost", lambda r: r.select("id", F.round(fusion.recency_boost(F.
 query("rank_for_packing", f"""WITH {FUSED}, f2 AS (SELECT *, max(t_event) OVER (PARTITION BY query_id) AS newest FROM fused),
   f3 AS (SELECT query_id, id, t_event, content, round(score * pow(0.5, greatest(0.0, (newest - t_event) / CAST(86400000 AS DOUBLE)) / 365.0) * CASE kind WHEN 'fact' THEN 1.25 ELSE 1.0 END, 9) AS pack_score FROM f2)
   SELECT CAST(query_id AS INTEGER) AS query_id, id, pack_score, row_number() OVER (PARTITION BY query_id ORDER BY pack_score DESC, t_event DESC, sha256(coalesce(content, '')), id) AS place FROM f3""")(
-    lambda s, d: fusion.packing_order(_fused(s, d), model.records(s, d)))
+    _packing_order)
 
 
 def _judged(s, d) -> DataFrame:
-    """The shortlist, the 30 best of BM25 alone, judged by a stub: the share of query terms a text holds.
-    Vector hits that BM25 lacks are not added, and so never judged; the SQL has none either."""
-    ls = _lanes(s, d)
-    short = ls["bm25"].where("rank <= 30").select("query_id", "id", "rank")
-    r = model.records(s, d).select("id", "content")
+    """The shortlist, the 30 best of BM25 and then of vectors, judged by a stub: the share of query terms a text holds."""
+    r = _saved(s, d)
+    ls = _lanes(s, d, r)
     terms = searches(s).select("query_id", T.query_terms(F.col("text")).alias("terms"))
     held = F.size(F.array_intersect("terms", T.tokens(F.col("content")))) / F.size("terms")
-    return short.join(r, "id").join(terms, "query_id").select("query_id", "id", "rank", F.round(held, 6).alias("p"))
+    short = fusion.shortlist(ls["bm25"], ls["vector"], 30)
+    return short.join(r.select("id", "content"), "id").join(terms, "query_id").select("query_id", "id", "rank", F.round(held, 6).alias("p"))
 
 
 JUDGED = f"""tl AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1),
-judged AS (SELECT query_id, bm25.id, rank, round(len(list_intersect(terms, toks)) / len(terms), 6) AS p FROM bm25 JOIN tok USING (id) JOIN tl USING (query_id) WHERE rank <= 30)"""
-query("rerank", f"WITH {BM25}, {JUDGED} SELECT query_id, id, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, rank) AS rank FROM judged")(
+sl AS (SELECT query_id, id, min((lane, rank)) AS pos FROM (SELECT query_id, id, 0 AS lane, rank FROM bm25 UNION ALL SELECT CAST(query_id AS INTEGER), id, 1, rank FROM vector) GROUP BY 1, 2),
+sr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM sl),
+judged AS (SELECT query_id, sr.id, rank, round(len(list_intersect(terms, toks)) / len(terms), 6) AS p FROM sr JOIN tok USING (id) JOIN tl USING (query_id) WHERE rank <= 30)"""
+query("rerank", f"WITH {BM25}, {VECTOR}, {JUDGED} SELECT query_id, id, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, rank) AS rank FROM judged")(
     lambda s, d: scans.ranked(_judged(s, d).withColumnRenamed("rank", "input"), F.desc("p"), "input", by="query_id").select("query_id", "id", "p", "rank"))
-query("gate_candidates", f"WITH {BM25}, {JUDGED}, g AS (SELECT *, max(p) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, rank) AS n FROM judged) SELECT query_id, id, p FROM g WHERE p >= 0.5 OR (best < 0.5 AND n <= 3)")(
+query("gate_candidates", f"WITH {BM25}, {VECTOR}, {JUDGED}, g AS (SELECT *, max(p) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, rank) AS n FROM judged) SELECT query_id, id, p FROM g WHERE p >= 0.5 OR (best < 0.5 AND n <= 3)")(
     lambda s, d: fusion.gate(_judged(s, d), 0.5).select("query_id", "id", "p"))
 SWEEP = """floor AS (SELECT query_id, CASE WHEN count(*) >= 5 THEN greatest(0.35, quantile_cont(score, 0.5) + 0.1) ELSE 0.35 END AS floor FROM vector GROUP BY 1),
 sweep AS (SELECT query_id, id FROM bm25 UNION SELECT query_id, id FROM entity UNION SELECT vector.query_id, id FROM vector JOIN floor USING (query_id) WHERE score >= floor)"""
@@ -355,12 +391,14 @@ sweep AS (SELECT query_id, id FROM bm25 UNION SELECT query_id, id FROM entity UN
 
 def _sweep(s, d) -> DataFrame:
     """What a delete by query matches: lanes at the sweep's limit, not at that of a search."""
-    r, q, k = model.records(s, d), searches(s), fusion.SWEEP_LIMIT
+    r, q, k = _saved(s, d), searches(s), fusion.SWEEP_LIMIT
     return fusion.sweep({"bm25": lanes.bm25(r, q, ME, k), "entity": lanes.entity(r, q, ME, k), "vector": lanes.vector(r, model.vectors(s, d), _vector_queries(s, d), ME, k)})
 
 
-query("find_ids", f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT CAST(query_id AS INTEGER) AS query_id, id FROM sweep")(_sweep)
-query("forget_fingerprint", f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id))[1:32] AS fingerprint FROM sweep GROUP BY 1")(
+#: A sweep's lanes hold up to 10,000 hits, in the SQL too.
+WIDE = f"{BM25}, {ENT}, {VECTOR}, {SWEEP}".replace("rank <= 40)", f"rank <= {fusion.SWEEP_LIMIT})").replace("rank <= 20)", f"rank <= {fusion.SWEEP_LIMIT})")
+query("find_ids", f"WITH {WIDE} SELECT CAST(query_id AS INTEGER) AS query_id, id FROM sweep")(_sweep)
+query("forget_fingerprint", f"WITH {WIDE} SELECT CAST(query_id AS INTEGER) AS query_id, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id))[1:32] AS fingerprint FROM sweep GROUP BY 1")(
     lambda s, d: fusion.fingerprint(_sweep(s, d)))
 
 # packing ---------------------------------------------------------------------------------
@@ -428,7 +466,11 @@ simple("render_item", lambda r: r.select("id", T.render_item(fenced()).alias("te
 simple("count_tokens", lambda r: r.select("id", T.count_tokens(F.col("content")).alias("n")), f"WITH {REC} SELECT id, CAST({_COST} AS BIGINT) AS n FROM rec")
 simple("one_line", lambda r: r.select("id", T.one_line(F.col("content")).alias("line")), f"WITH {REC} SELECT id, replace(replace(replace(content, chr(13) || chr(10), '\\n'), chr(10), '\\n'), chr(13), '\\n') AS line FROM rec")
 simple("session_date", lambda r: r.select("id", T.session_date(F.col("t_event")).alias("date")), f"WITH {REC} SELECT id, strftime(make_timestamp(t_event * 1000), '%Y/%m/%d (%a) %H:%M') AS date FROM rec")
-query("excerpt")(lambda s, d: model.messages(s, d).select("id", packing.excerpted(F.col("content"), 200, F.col("prov_session")).alias("text")))
+FOCUS = "a tion of the eringing heit in que"
+_at = "coalesce(" + ", ".join(f"nullif(strpos(low, '{w}'), 0)" for w in ("eringing", "tion", "heit")) + ", 1) - 1"
+query("excerpt", f"""WITH {MSG}, a AS (SELECT id, content, translate(content, '{U}', '{L}') AS low, CAST(length(content) AS INTEGER) AS n FROM msg), b AS (SELECT *, CAST(greatest(0, least({_at} - 100, n - 200)) AS INTEGER) AS st FROM a)
+  SELECT id, CASE WHEN n <= 200 THEN content ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || substring(content, st + 1, 200) || CASE WHEN st + 200 < n THEN '...' ELSE '' END END AS text FROM b""")(
+    lambda s, d: model.messages(s, d).select("id", packing.excerpted(F.col("content"), 200, F.lit(FOCUS)).alias("text")))
 _PHRASE = ("yesterday", "today", "tomorrow", "3 days ago", "2 weeks ago", "5 days from now")
 _off = {"yesterday": -1, "today": 0, "tomorrow": 1, "3 days ago": -3, "2 weeks ago": -14, "5 days from now": 5}
 _phrases = "[" + ", ".join(f"'{p}'" for p in _PHRASE) + "]"
@@ -468,7 +510,20 @@ _said_sql = "CASE event_id % 9 " + " ".join(f"WHEN {i} THEN " + ("'policy: run t
 _key_sql = "CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{f[0]}'" for i, f in enumerate(_facts_of) if f) + " END"
 query("extract_patterns", f"SELECT printf('e%09d', event_id) AS id, {_key_sql} AS entity_key, {_said_sql} AS fact FROM events WHERE event_id % 9 <> 6")(
     lambda s, d: derive.extract(_said(s, d)).select("id", "entity_key", "fact"))
-query("extract_turns")(lambda s, d: derive.extract(model.messages(s, d)))
+_said_by = lambda who: "CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {i} THEN " + ("'policy: run tests first'" if f[1] is None else f"{who} || {f[1]}") for i, f in enumerate(_facts_of) if f) + " END"
+_rule = dict(zip((f[0] for f in _facts_of if f), (0, 11, 2, 12, 14, 8, 13, 15)))
+_rule_sql = "CASE " + _key_sql.replace("event_id", "(conv_id + turn)") + " " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in _rule.items()) + " END"
+
+
+def _turns_said(s, d) -> DataFrame:
+    """Turns of which every other says something to extract."""
+    say = F.element_at(F.array(*[F.lit(x) for x in SAYINGS]), ((F.col("c") + F.col("t")) % len(SAYINGS) + 1).cast("int"))
+    m = model.messages(s, d).withColumn("c", F.floor(F.col("ingest_seq") / 1000)).withColumn("t", F.col("ingest_seq") % 1000)
+    return m.withColumn("content", F.when(F.col("t") % 2 == 0, say).otherwise(F.col("content"))).drop("c", "t")
+
+
+query("extract_turns", f"WITH m AS (SELECT *, CASE WHEN conv_id % 7 <> 3 THEN 'u' || (conv_id % 10) ELSE 'o' || (conv_id % 3) END AS who FROM conversations) SELECT printf('c%06d-%04d', conv_id, turn) AS id, CAST({_rule_sql} AS INTEGER) AS pattern, {_key_sql.replace('event_id', '(conv_id + turn)')} AS entity_key, {_said_by('who')} AS fact FROM m WHERE turn % 2 = 0 AND (conv_id + turn) % 9 <> 6")(
+    lambda s, d: derive.extract(_turns_said(s, d)))
 query("subject_names", "SELECT DISTINCT 'u' || user_id AS scope_user, 'Ada Lovelace' AS name FROM events WHERE event_id % 9 = 0")(lambda s, d: derive.names(_said(s, d)))
 query("distinct_facts", f"SELECT min_by(printf('e%09d', event_id), ((epoch_us(ts) // 1000), event_id)) AS id, {_said_sql} AS fact FROM events WHERE event_id % 9 <> 6 GROUP BY 'u' || user_id, 2")(
     lambda s, d: derive.distinct_facts(derive.extract(_said(s, d)).join(_said(s, d).select("id", "scope_user", "t_event"), "id"), ["t_event", "id"], ["scope_user"]).select("id", "fact"))
@@ -482,7 +537,7 @@ query("entity_cluster", f"WITH {FACT} SELECT entity_keys[1] AS key, count(*) AS
 simple("ulid", lambda r: r.select("id", T.ulid_time(T.ulid(F.col("t_event"), F.substring(F.md5("id"), 1, 20))).alias("ms"), F.length(T.ulid(F.col("t_event"), F.substring(F.md5("id"), 1, 20))).alias("n")), f"WITH {REC} SELECT id, t_event AS ms, 26 AS n FROM rec")
 simple("content_sha", lambda r: r.select("id", F.sha2("content", 256).alias("h")), f"WITH {REC} SELECT id, sha256(content) AS h FROM rec")
 query("embed_order", f"WITH {REC}, {VEC} SELECT rec.id, row_number() OVER (ORDER BY least(length(content), 2000), rec.id) AS rank FROM rec LEFT JOIN vec USING (id) WHERE kind = 'fact' AND invalidated_at IS NULL AND (model IS NULL OR model <> 'new')")(
-    lambda s, d: scans.ranked(scans.stale_vectors(model.facts(s, d), model.vectors(s, d), "new").select("id", F.length(F.substring("content", 1, 2000)).alias("n")), "n", "id").select("id", "rank"))
+    lambda s, d: prefix.place(scans.stale_vectors(model.facts(s, d), model.vectors(s, d), "new").select("id", F.length(F.substring("content", 1, 2000)).alias("n")), ["n", "id"]).select("id", "rank"))
 query("rendezvous", "SELECT user_id, max_by(node, md5(node || ':' || user_id)) AS node FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['n1', 'n2', 'n3', 'n4']) AS node) GROUP BY 1")(
     lambda s, d: model.table(s, d, "events").select("user_id").distinct().select("user_id", F.array_max(F.transform(F.array(*[F.lit(f"n{i}") for i in range(1, 5)]), lambda n: F.struct(F.md5(F.concat(n, F.lit(":"), F.col("user_id").cast("string"))), n.alias("node"))))["node"].alias("node")))
 query("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, length(props) > 0 AS any FROM events")(
@@ -492,9 +547,8 @@ query("array_ops", f"WITH {FACT} SELECT scope_user, array_to_string(list_sort(li
 
 # aggregates ------------------------------------------------------------------------------
 
-query("stats", f"WITH {REC}, {VEC} SELECT count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS tombstones, count(*) FILTER (kind = 'fact' AND NOT deleted) AS facts, count(*) FILTER (invalidated_at IS NOT NULL AND NOT deleted) AS superseded, count(*) FILTER (quarantined) AS quarantined, (SELECT count(*) FROM vec) AS vectors FROM rec")(
-    lambda s, d: model.records(s, d).agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("tombstones"), F.count_if((F.col("kind") == "fact") & ~F.col("deleted")).alias("facts"),
-                                         F.count_if(F.col("invalidated_at").isNotNull() & ~F.col("deleted")).alias("superseded"), F.count_if("quarantined").alias("quarantined")).crossJoin(model.vectors(s, d).agg(F.count("*").alias("vectors"))))
+query("stats", f"WITH {REC}, {VEC} SELECT count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS tombstones, count(*) FILTER (kind = 'fact' AND NOT deleted) AS facts, count(*) FILTER (invalidated_at IS NOT NULL AND NOT deleted) AS superseded, count(*) FILTER (quarantined) AS quarantined, count(*) FILTER (kind = 'link') AS links, (SELECT count(*) FROM vec) AS vectors, (SELECT max(len(vec)) FROM vec) AS dim, (SELECT max(model) FROM vec) AS model FROM rec")(
+    lambda s, d: scans.stats(model.records(s, d), model.vectors(s, d)))
 BOUNDS = (10.0, 25.0, 50.0, 100.0, 250.0)
 _bound = "CASE " + " ".join(f"WHEN value <= {b} THEN {b}" for b in BOUNDS) + " END"
 
@@ -511,7 +565,7 @@ query("histogram_quantile", f"""WITH h AS (SELECT event_type AS series, CAST({_b
   f AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY bound NULLS LAST) AS k FROM c WHERE upto >= CAST(0.95 AS DOUBLE) * total)
   SELECT series, round(coalesce(low + (bound - low) * (CAST(0.95 AS DOUBLE) * total - (upto - n)) / n, low), 6) AS value FROM f WHERE k = 1""")(_histogram)
 query("median_p95", "SELECT event_type, round(median(value), 6) AS p50, round(list_sort(list(value))[CAST(floor(CAST(0.95 AS DOUBLE) * (count(*) - 1)) AS INTEGER) + 1], 6) AS p95 FROM events GROUP BY 1")(
-    lambda s, d: model.table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.element_at(F.sort_array(F.collect_list("value")), (F.floor(F.lit(0.95) * (F.count("*") - 1)) + 1).cast("int")), 6).alias("p95")))
+    lambda s, d: policy.nearest(model.table(s, d, "events"), "event_type", "value").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")))
 query("groupings", f"WITH {FACT} SELECT scope_user, entity_keys[1] AS key, count(*) AS n, count(*) > 1 AS collides FROM fact GROUP BY 1, 2")(
     lambda s, d: model.facts(s, d).groupBy("scope_user", F.get("entity_keys", F.lit(0)).alias("key")).agg(F.count("*").alias("n"), (F.count("*") > 1).alias("collides")))
 query("ordered_distinct", "SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2")(
@@ -528,7 +582,12 @@ query("usage_rollup", f"WITH {_USAGE}, c AS (SELECT *, strftime(ts, '%Y-%m') AS
 query("usage_sum", f"WITH {_USAGE}, o AS (SELECT DISTINCT 'o' || (user_id % 9) AS org FROM events) SELECT org, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS quantity FROM o LEFT JOIN u USING (org) GROUP BY 1")(
     lambda s, d: model.table(s, d, "events").select(F.concat(F.lit("o"), F.col("user_id") % 9).alias("org")).distinct().join(_usage(s, d), "org", "left").groupBy("org").agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity")))
 query("gauge_snapshot", f"WITH {_USAGE} SELECT org, strftime(ts, '%Y-%m-%d') AS day, max_by(value, (at_ms, event_id)) AS value FROM u GROUP BY 1, 2")(lambda s, d: policy.gauge(_usage(s, d)))
-query("quota_admit")(lambda s, d: policy.admit(_usage(s, d).select(F.concat_ws("-", "org", "meter").alias("org"), "at", F.col("event_id").alias("request_id"), F.col("quantity").alias("want")), 500))
+query("quota_admit", f"""WITH RECURSIVE {_USAGE}, w AS (SELECT org || '-' || meter AS org, event_id AS request_id, quantity AS want, row_number() OVER (PARTITION BY org, meter ORDER BY at_ms, event_id) AS k FROM u),
+  a AS (SELECT org, request_id, k, least(want, 500) AS granted, least(want, 500) AS used FROM w WHERE k = 1
+    UNION ALL SELECT w.org, w.request_id, w.k, least(w.want, 500 - used), used + least(w.want, 500 - used) FROM a JOIN w ON w.org = a.org AND w.k = a.k + 1)
+  SELECT org, request_id, CAST(granted AS BIGINT) AS granted FROM a""")(
+    lambda s, d: policy.admit(_usage(s, d).select(F.concat_ws("-", "org", "meter").alias("org"), "at", F.col("event_id").alias("request_id"), F.col("quantity").alias("want")), 500))
+query("token_bucket")(lambda s, d: policy.bucket(_usage(s, d).select(F.col("user_id").cast("string").alias("who"), F.floor(F.col("at") / 20_000).alias("at")), "who", "at", 3))
 query("set_algebra", "SELECT user_id, 'both' AS part FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT user_id, 'only' FROM (SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error')")(
     lambda s, d: (lambda a, b: a.intersect(b).withColumn("part", F.lit("both")).unionByName(a.exceptAll(b).distinct().join(b, "user_id", "left_anti").withColumn("part", F.lit("only"))))(
         model.table(s, d, "events").where("event_type = 'click'").select("user_id").distinct(), model.table(s, d, "events").where("event_type = 'error'").select("user_id").distinct()))
@@ -551,6 +610,20 @@ query("history", f"""WITH RECURSIVE {FACT}, s AS (SELECT unnest([{", ".join(f"'e
   UNION SELECT h.start, CASE WHEN f.id = h.id THEN f.superseded_by ELSE f.id END FROM h JOIN fact f ON (f.id = h.id AND f.superseded_by IS NOT NULL) OR f.superseded_by = h.id) SELECT start, id, t_ingested FROM h JOIN fact USING (id)""")(
     lambda s, d: fold.history(model.facts(s, d), s.createDataFrame([(f"e{i:09d}",) for i in _STARTS], "start string")).select("start", "id", "t_ingested"))
 
+GAP = 777
+
+
+@query("replica_tail", f"SELECT printf('e%09d', event_id) AS id FROM events WHERE event_id < {GAP} AND event_id % 17 <> 0")
+def replica_tail(s, d):
+    """A log in several files, followed by a stream; one seq has not arrived, so readers stop before it."""
+    store = Store(s)
+    facts = model.facts(s, d).withColumn("n", F.col("ingest_seq") - 1_000_000_000)
+    log = fold.writes(facts, F.col("n") * 2).unionByName(fold.ops(facts, "tombstone", F.col("n") * 2 + 1, at=F.col("t_event")).where("seq % 34 = 1").unionByName(fold.ops(facts, "noop", F.col("n") * 2 + 1).where("seq % 34 <> 1")))
+    log.where(F.col("seq") != 2 * GAP).repartition(4).write.parquet(f"{store.path}/log")
+    replay.tail(replay.read_stream(s, f"{store.path}/log", log.schema), f"{store.path}/copy", f"{store.path}/mark").awaitTermination()
+    return fold.fold(replay.readable(s.read.parquet(f"{store.path}/copy").drop("batch")), NOW).select("id")
+
+
 # evaluation ------------------------------------------------------------------------------
 
 _SESSIONS = "hs AS (SELECT query_id, coalesce(prov_session, scope_user) AS session, min(rank) AS first FROM bm25 JOIN rec USING (id) GROUP BY 1, 2), rs AS (SELECT query_id, session, row_number() OVER (PARTITION BY query_id ORDER BY first, session) AS rank FROM hs)"
@@ -561,3 +634,24 @@ query("ndcg", f"""WITH {BM25}, {_SESSIONS}, g AS (SELECT * FROM (VALUES {", ".jo
   h AS (SELECT query_id, sum(coalesce(1 / log2(rank + 1), 0.0)) AS dcg, count(rank) AS found, count(*) AS n FROM g LEFT JOIN (SELECT * FROM rs WHERE rank <= 5) USING (query_id, session) GROUP BY 1)
   SELECT query_id, round(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 5) + 1)]), 6) AS ndcg, CAST(found > 0 AS DOUBLE) AS recall_any, CAST(found = n AS DOUBLE) AS recall_all FROM h""")(
     lambda s, d: evaluate.quality(evaluate.sessions(_hits(s, d)), s.createDataFrame(list(_GOLD), "query_id int, session string"), 5))
+query("answer_heuristic")(lambda s, d: evaluate.answers(searches(s).select("query_id", F.col("text").alias("query")), _contexts(s, d)))
+
+
+def _contexts(s, d) -> DataFrame:
+    """The texts of a query's five best hits."""
+    hits = _lanes(s, d)["bm25"].where("rank <= 5").join(model.records(s, d).select("id", "content"), "id")
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("context"))
+
+
+def _results(s, d) -> DataFrame:
+    e, i = model.table(s, d, "events"), F.col("event_id")
+    system = F.element_at(F.array(F.lit("ours"), F.lit("whole"), F.lit("plain")), (i % 3 + 1).cast("int"))
+    return e.select(F.col("event_type").alias("suite"), system.alias("system"), F.when(i % 2 == 0, "knowledge_update").otherwise("other").alias("qclass"), (i % 11 != 0).alias("correct"), F.when(i % 3 == 1, i % 900 + 900).otherwise(i % 90).alias("tokens"))
+
+
+_RESULTS = "res AS (SELECT event_type AS suite, ['ours', 'whole', 'plain'][event_id % 3 + 1] AS system, CASE WHEN event_id % 2 = 0 THEN 'knowledge_update' ELSE 'other' END AS qclass, event_id % 11 <> 0 AS correct, CASE WHEN event_id % 3 = 1 THEN event_id % 900 + 900 ELSE event_id % 90 END AS tokens FROM events)"
+query("case_accuracy", f"WITH {_RESULTS} SELECT suite, system, count(*) AS cases, round(avg(CAST(correct AS INTEGER)), 4) AS accuracy, round(avg(tokens), 1) AS tokens FROM res GROUP BY 1, 2")(lambda s, d: evaluate.summary(_results(s, d)))
+query("accuracy_gate", f"""WITH {_RESULTS}, a AS (SELECT system, round(avg(CAST(correct AS INTEGER)), 4) AS acc, round(avg(tokens), 1) AS tok FROM res WHERE suite = 'click' GROUP BY 1), x AS (SELECT * FROM a WHERE system = 'ours'), y AS (SELECT * FROM a WHERE system = 'whole'), z AS (SELECT * FROM a WHERE system = 'plain')
+  SELECT 'accuracy' AS rule, x.acc >= y.acc - 0.02 AS ok FROM x, y UNION ALL SELECT 'tokens', x.tok <= 0.1 * greatest(y.tok, 1) FROM x, y UNION ALL SELECT 'retrieval', x.acc >= z.acc FROM x, z
+  UNION ALL SELECT 'updates', (SELECT avg(CAST(correct AS INTEGER)) FROM res WHERE suite = 'click' AND system = 'ours' AND qclass = 'knowledge_update') >= 0.95""")(
+    lambda s, d: evaluate.gate(_results(s, d), "click", "ours", "whole", "plain"))

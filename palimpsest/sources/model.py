@@ -114,6 +114,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def restored(lines: DataFrame, namespace: str) -> DataFrame:
+    """Records from lines of an export (value: JSON): ids are kept, the namespace is the new one."""
+    rows = lines.select(F.from_json("value", record_schema()).alias("r")).select("r.*")
+    return rows.where("id IS NOT NULL").withColumn("ns", F.lit(namespace))
+
+
+def foreign(rows: DataFrame) -> DataFrame:
+    """Rows of another system (line: JSON) as facts of the import tier."""
+    g = lambda k: F.get_json_object("line", f"$.{k}")
+    text = F.coalesce(*[F.nullif(g(k), F.lit("")) for k in ("memory", "text", "content", "data")])
+    time = F.coalesce(*[g(k) for k in ("created_at", "timestamp", "t", "time")])
+    number = time.try_cast("double")
+    ms = F.when(number.isNotNull(), F.when(number < 10**12, number * 1000).otherwise(number).cast("long")).otherwise(F.unix_millis(F.try_to_timestamp(time)))
+    user = F.coalesce(g("user_id"), g("metadata.user_id"))
+    return rows.select(text.alias("content"), ms.alias("t_event"), user.alias("scope_user"), F.lit(IMPORT).alias("source"), F.lit("fact").alias("kind")).where("content IS NOT NULL")
+
+
 def guard(df: DataFrame) -> DataFrame:
     """Reject records outside the write limits: the job fails with the reason."""
     checks = (

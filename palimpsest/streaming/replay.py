@@ -68,6 +68,11 @@ def tail(log: DataFrame, target: str, checkpoint: str):
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def readable(log: DataFrame) -> DataFrame:
+    """The events up to the horizon: no delete is applied before the write that it deletes."""
+    return log.join(horizon(log), "ns").where(F.col("seq") <= F.col("horizon")).drop("horizon")
+
+
 def horizon(log: DataFrame) -> DataFrame:
     """The largest seq up to which nothing is missing: a reader may apply events up to it."""
     w = Window.partitionBy("ns").orderBy("seq")

@@ -9,7 +9,7 @@ import pytest
 
 from palimpsest.operators import fold
 from palimpsest.operators.graph import connected
-from palimpsest.queries import BM25, ENT, QUERIES, SWEEP, VECTOR
+from palimpsest.queries import QUERIES, WIDE
 from palimpsest.sources.store import Store
 
 from tests.test_core import NOW, log_of, plain_fold, record, records
@@ -27,7 +27,7 @@ def con():
 
 def test_sweep_sees_more_than_a_search(spark, con):
     """The registered SQL holds the limits of a search (40 and 20); a sweep takes 10,000 of every lane."""
-    wide = f"WITH {BM25}, {ENT}, {VECTOR}, {SWEEP} SELECT query_id, id FROM sweep".replace("rank <= 40)", "rank <= 10000)").replace("rank <= 20)", "rank <= 10000)")
+    wide = f"WITH {WIDE} SELECT query_id, id FROM sweep"
     want: dict[int, list] = {}
     for q, i in con.execute(wide).fetchall():
         want.setdefault(q, []).append(i)
