@@ -11,21 +11,20 @@ from palimpsest.sources.store import Store
 def connected(store: Store, edges: DataFrame) -> DataFrame:
     """(a, b): for every node but the smallest of its component, that smallest node.
 
-    Alternating large and small stars: the rounds grow with the log of a component's size. The
-    end is reached when a round leaves every edge as it was. Both sides of a join are written
-    tables, so that adaptive execution may split the edges of a hub.
+    Alternating large and small stars: the rounds grow with the log of a component's size. A
+    round writes one table, and the end is reached when it leaves every edge as it was.
     """
     now = store.save(edges.select("a", "b").where("a <> b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = store.save(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct())
-        low = store.save(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = store.save(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         same = new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty()
-        store.drop(now, least, large, low)
+        store.drop(now)
         now = new
         if same:
             return now
