@@ -46,14 +46,21 @@ def postings(records: DataFrame, terms: DataFrame) -> DataFrame:
 
     The terms' table is small or not; the join is left to Spark, which sends a small one to all.
     """
-    words = records.select("id", T.token_count(F.col("content")).alias("dl"), F.explode(T.pieces(F.col("content"))).alias("term"))
-    return words.join(terms.select("term").distinct(), "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = records.select("id", F.explode(T.pieces(F.col("content"))).alias("term"))
+    hits = words.join(terms.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return hits.join(lengths(records), "id").select("id", "dl", "term", "tf")
+
+
+def lengths(records: DataFrame) -> DataFrame:
+    """(id, dl): terms of each record. Apart from the explosion, which would count them once a term."""
+    return records.select("id", T.token_count(F.col("content")).alias("dl"))
 
 
 def index(records: DataFrame) -> DataFrame:
     """(id, dl, term, tf) of all terms: to be stored beside the log and asked again and again."""
-    words = records.select("id", T.token_count(F.col("content")).alias("dl"), F.explode(T.pieces(F.col("content"))).alias("term"))
-    return words.where("term <> ''").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = records.select("id", F.explode(T.pieces(F.col("content"))).alias("term"))
+    tf = words.where("term <> ''").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return tf.join(lengths(records), "id").select("id", "dl", "term", "tf")
 
 
 def bm25(records: DataFrame, queries: DataFrame, f: Filter, limit: Column | int, stats_scope: str = "all", stored: DataFrame | None = None, term_of=None) -> DataFrame:
