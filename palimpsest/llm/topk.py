@@ -1,7 +1,7 @@
 """Exact top-k search by columnar branch and bound (operator 1).
 
-Queries are first scored against a bounded set, the candidates of the largest norms: the k-th
-score found there is a bar that the answer can't lie below. Then queries and candidates meet in
+Queries are first scored against a bounded set, the candidate of the largest norm of each of
+``PILOT`` hash groups: the k-th score found there is a bar that the answer can't lie below. Then queries and candidates meet in
 cells: a block of queries times a block of candidates, both bounded by rows and by components,
 so that no task grows with the input or with the length of vectors. In a cell the candidates lie in vertical
 layout, a row per dimension, largest dimensions first and candidates by falling norm. Scores
@@ -162,7 +162,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, id_col: str = "vec_id
     wide = min(MOST_ROWS, fit, max(2048, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     across, down = max(1, -(-n // wide)), max(1, -(-m // min(MOST_QUERIES, fit)))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    pilot = c.orderBy(norm.desc(), "vec_id").limit(min(PILOT, fit))
+    # One row of each group, combined before the shuffle: a sort with a limit would send rows of every partition to one task.
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(min(PILOT, fit)))
+    pilot = c.groupBy(group.alias("group")).agg(F.max_by(F.struct("vec_id", "vector", "dims"), norm).alias("row")).select("row.*")
     bars = _first(_meet(q.withColumn("bar", F.lit(float("-inf"))), pilot, 1, down, k), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
     barred = q.join(bars, "vec_id", "left").select("vec_id", "vector", "dims", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
     return _first(_meet(barred, c, across, down, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
