@@ -35,9 +35,15 @@ def sliding_count(df: DataFrame, key: str, at: str, window: int, name: str = "re
     """``df`` with the number of rows of the same key in (at - window, at].
 
     Time is cut into pieces as long as the window, and rows are repeated in the next piece: a key
-    is spread over as many groups as it has pieces.
+    is spread over as many groups as it has pieces. In the next piece a row counts from the start
+    and leaves when the window has passed it, so a count is a running sum: a frame whose both ends
+    move would be counted anew for each row.
     """
     piece = F.floor(F.col(at) / window)
-    rows = df.withColumn("_piece", F.explode(F.array_distinct(F.array(piece, piece + 1))))
-    w = Window.partitionBy(key, "_piece").orderBy(at).rangeBetween(-window + 1, 0)
-    return rows.withColumn(name, F.count("*").over(w)).where(F.col("_piece").eqNullSafe(piece)).drop("_piece")
+    step = lambda p, t, n: F.struct(p.alias("piece"), t.cast("long").alias("at"), F.lit(n).cast("long").alias("n"))
+    steps = F.filter(F.array(step(piece, F.col(at), 1), step(piece + 1, F.col(at) + window, -1)), lambda s: (s["n"] > 0) | s["piece"].isNotNull())
+    rows = df.withColumn("_step", F.explode(steps)).withColumn("_piece", F.col("_step.piece"))
+    group = Window.partitionBy(key, "_piece")
+    upto = group.orderBy("_step.at").rangeBetween(Window.unboundedPreceding, 0)
+    before = F.count(F.when(F.col("_step.n") < 0, 1)).over(group)
+    return rows.withColumn(name, before + F.sum("_step.n").over(upto)).where("_step.n > 0").drop("_piece", "_step")
