@@ -611,16 +611,19 @@ query("history", f"""WITH RECURSIVE {FACT}, s AS (SELECT unnest([{", ".join(f"'e
     lambda s, d: fold.history(model.facts(s, d), s.createDataFrame([(f"e{i:09d}",) for i in _STARTS], "start string")).select("start", "id", "t_ingested"))
 
 GAP = 777
+#: Events of the log in one of its files, about; a stream takes a quarter of the files at once.
+FILE_EVENTS = 250_000
 
 
 @query("replica_tail", f"SELECT printf('e%09d', event_id) AS id FROM events WHERE event_id < {GAP} AND event_id % 17 <> 0")
 def replica_tail(s, d):
     """A log in several files, followed by a stream; one seq has not arrived, so readers stop before it."""
     store = Store(s)
-    facts = model.facts(s, d).withColumn("n", F.col("ingest_seq") - 1_000_000_000)
+    facts = store.save(model.facts(s, d)).withColumn("n", F.col("ingest_seq") - 1_000_000_000)
+    files = max(4, -(-2 * facts.count() // FILE_EVENTS))
     log = fold.writes(facts, F.col("n") * 2).unionByName(fold.ops(facts, "tombstone", F.col("n") * 2 + 1, at=F.col("t_event")).where("seq % 34 = 1").unionByName(fold.ops(facts, "noop", F.col("n") * 2 + 1).where("seq % 34 <> 1")))
-    log.where(F.col("seq") != 2 * GAP).repartition(4).write.parquet(f"{store.path}/log")
-    replay.tail(replay.read_stream(s, f"{store.path}/log", log.schema), f"{store.path}/copy", f"{store.path}/mark").awaitTermination()
+    log.where(F.col("seq") != 2 * GAP).repartition(files, "seq").write.parquet(f"{store.path}/log")
+    replay.tail(replay.read_stream(s, f"{store.path}/log", log.schema, -(-files // 4)), f"{store.path}/copy", f"{store.path}/mark").awaitTermination()
     return fold.fold(replay.readable(s.read.parquet(f"{store.path}/copy").drop("batch")), NOW).select("id")
 
 

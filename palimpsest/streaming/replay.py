@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from palimpsest.sources.store import Store
+
+#: Seqs that one group looks through for a gap.
+BLOCK = 65_536
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """A table of Parquet files as a stream."""
@@ -69,13 +74,19 @@ def tail(log: DataFrame, target: str, checkpoint: str):
 
 
 def readable(log: DataFrame) -> DataFrame:
-    """The events up to the horizon: no delete is applied before the write that it deletes."""
-    return log.join(horizon(log), "ns").where(F.col("seq") <= F.col("horizon")).drop("horizon")
+    """The events up to the horizon: no delete is applied before the write that it deletes.
+
+    Horizons are written first: knowing their size, Spark need not deal the log by namespace.
+    """
+    return log.join(Store(log.sparkSession).save(horizon(log)), "ns").where(F.col("seq") <= F.col("horizon")).drop("horizon")
 
 
 def horizon(log: DataFrame) -> DataFrame:
     """The largest seq up to which nothing is missing: a reader may apply events up to it."""
-    w = Window.partitionBy("ns").orderBy("seq")
-    steps = log.select("ns", "seq").distinct().withColumn("gap", F.col("seq") - F.row_number().over(w))
-    first = steps.groupBy("ns").agg(F.min(F.struct("seq", "gap")).alias("f"))
-    return steps.join(first, "ns").where(F.col("gap") == F.col("f.gap")).groupBy("ns").agg(F.max("seq").alias("horizon"))
+    # It is the smallest seq that nothing follows. Blocks also see the seq that begins the next block.
+    block = F.floor(F.col("seq") / BLOCK)
+    seen = F.when(F.col("seq") % BLOCK == 0, F.array(block, block - 1)).otherwise(F.array(block))
+    w = Window.partitionBy("ns", "block").orderBy("seq")
+    steps = log.where("seq IS NOT NULL").select("ns", "seq", F.explode(seen).alias("block")).withColumn("next", F.lead("seq").over(w))
+    ends = steps.where((F.col("block") == block) & (F.col("next").isNull() | (F.col("next") > F.col("seq") + 1)))
+    return ends.groupBy("ns").agg(F.min("seq").alias("horizon"))

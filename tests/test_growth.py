@@ -28,3 +28,21 @@ def test_sliding_count_is_a_running_sum(spark):
     got = prefix.sliding_count(df, "k", "at", 40)
     assert {x.i: x.recent for x in got.collect()} == {i: sum(k == k2 and (at2 == at if None in (at, at2) else at - 40 < at2 <= at) for k2, at2, _ in rows) for k, at, i in rows}
     assert got.columns == ["k", "at", "i", "recent"] and not re.search(r"RangeFrame, -", plan(got))
+
+
+def test_horizon_is_found_in_blocks(spark):
+    """A namespace is no single group, and a run goes on over the border of two blocks."""
+    b = replay.BLOCK if hasattr(replay, "BLOCK") else 65_536
+    seqs = {"through": [*range(b - 3, b + 4), b + 9], "border": [b - 2, b - 1, b + 1], "whole": [2 * b - 1, 2 * b], "twice": [5, 5, 6, 8], "below": [-2, -1, 0, 1, 3]}
+    log = spark.createDataFrame([(ns, s) for ns, ss in seqs.items() for s in ss], "ns string, seq long")
+    assert {x.ns: x.horizon for x in replay.horizon(log).collect()} == {"through": b + 3, "border": b - 1, "whole": 2 * b, "twice": 6, "below": 1}
+    assert not re.search(r"windowspecdefinition\(ns#\d+, seq#\d+L? ASC", plan(replay.horizon(log)))
+
+
+def test_tailed_log_has_more_files_when_it_is_larger(spark, monkeypatch):
+    """Four files whatever the size made four tasks."""
+    monkeypatch.setattr(queries, "FILE_EVENTS", 100, raising=False)
+    seen, read = [], replay.read_stream
+    monkeypatch.setattr(replay, "read_stream", lambda s, path, *rest: seen.append(sum(n.endswith(".parquet") for n in names(s, path))) or read(s, path, *rest))
+    got = [x.id for x in QUERIES["replica_tail"](spark, SMALL).collect()]
+    assert sorted(got) == [f"e{i:09d}" for i in range(777) if i % 17] and seen[0] > 10
