@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from palimpsest.operators.graph import connected
+from palimpsest.operators.graph import connected, joints, stars
 from palimpsest.sources.model import record_schema
 from palimpsest.sources.store import Store
 
@@ -117,12 +117,21 @@ def history(records: DataFrame, starts: DataFrame) -> DataFrame:
 
     ``starts`` has ids in ``start``. A start that nothing supersedes and that supersedes nothing is
     alone. Chains may be of any length, merge or run in a circle: they are components of the
-    supersedence edges.
+    supersedence edges. Versions of a key, in order of time, lie in one range of edges or a few, so
+    most chains are whole in a chunk; the rounds are for what ties chunks together, and the records
+    are read for the ids of the asked chains only.
     """
     store = Store(records.sparkSession)
-    edges = records.where("superseded_by IS NOT NULL").select(F.col("id").alias("a"), F.col("superseded_by").alias("b"))
-    roots = connected(store, edges)
-    asked = starts.select("start").distinct().join(roots.select(F.col("a").alias("start"), F.col("b").alias("root")), "start", "left")
-    asked = asked.select("start", F.coalesce("root", "start").alias("root"))
-    members = records.select("id").join(roots.withColumnsRenamed({"a": "id", "b": "root"}), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    return members.join(asked, "root").select("start", "id").join(records, "id")
+    edges = records.where("superseded_by IS NOT NULL").select(F.get("entity_keys", F.lit(0)).alias("key"), "t_event", F.col("id").alias("a"), F.col("superseded_by").alias("b"))
+    edges = store.save(edges)  # a range's bounds are sampled first
+    star = store.save(stars(edges.repartitionByRange("key", "t_event", "a").sortWithinPartitions("key", "t_event", "a")))
+    ties = store.save(joints(star).where("a <> b"))
+    top = connected(store, ties).toDF("b", "top")
+    root = lambda df: df.join(top, "b", "left").withColumn("root", F.coalesce("top", "b"))
+    asked = starts.select("start").distinct()
+    own = store.save(root(star.join(asked.withColumnRenamed("start", "a"), "a")).select(F.col("a").alias("start"), "root").distinct())
+    # The chunk roots of an asked chain: its root, and those that the ties put under it.
+    heads = own.select("start", F.col("root").alias("b")).unionByName(own.join(top.withColumnRenamed("top", "root"), "root").select("start", "b")).distinct()
+    members = star.join(store.save(heads), "b").select("start", F.col("a").alias("id"))
+    members = store.save(members.unionByName(asked.select("start", F.col("start").alias("id"))).distinct())
+    return members.join(records, "id")

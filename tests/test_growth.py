@@ -46,3 +46,33 @@ def test_tailed_log_has_more_files_when_it_is_larger(spark, monkeypatch):
     monkeypatch.setattr(replay, "read_stream", lambda s, path, *rest: seen.append(sum(n.endswith(".parquet") for n in names(s, path))) or read(s, path, *rest))
     got = [x.id for x in QUERIES["replica_tail"](spark, SMALL).collect()]
     assert sorted(got) == [f"e{i:09d}" for i in range(777) if i % 17] and seen[0] > 10
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_history_ties_chunks_together(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "EDGES_AT_ONCE", at_once)
+    r = random.Random(at_once)
+    after = {f"n{i:03}": f"n{r.randint(0, 119):03}" if r.random() < 0.7 else None for i in range(120)}
+    whole = {i: {i} for i in after}
+    for a, b in after.items():
+        if b:
+            both = whole[a] | whole[b]
+            for x in both:
+                whole[x] = both
+    rows = records(spark, *[record(id=i, superseded_by=n, t_event=NOW + r.randint(0, 9), entity_keys=[r.choice("kl")] * r.randint(0, 1)) for i, n in after.items()])
+    starts = ["n000", "n007", "n050", "n119", "none"]
+    got: dict[str, set] = {}
+    for x in fold.history(rows, spark.createDataFrame([(i,) for i in starts], "start string")).collect():
+        assert x.id not in got.setdefault(x.start, set())
+        got[x.start].add(x.id)
+    assert got == {s: whole[s] for s in starts if s in whole}
+
+
+def test_history_contracts_before_it_joins(spark, monkeypatch):
+    """The rounds of joins run over what ties chunks together, not over all edges."""
+    asked, connected = [], fold.connected
+    monkeypatch.setattr(fold, "connected", lambda store, edges: asked.append(edges.count()) or connected(store, edges))
+    chains = {f"{c}{i:03}": f"{c}{i + 1:03}" for c in "ab" for i in range(300)} | {"a300": None, "b300": None}
+    rows = records(spark, *[record(id=i, superseded_by=n, t_event=NOW + int(i[1:]), entity_keys=[i[0]]) for i, n in chains.items()])
+    assert fold.history(rows, spark.createDataFrame([("a007",)], "start string")).count() == 301
+    assert asked and max(asked) < 60
