@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,20 +55,23 @@ def _worded(key: str, s: Column, x: Column, y: Column) -> Column:
     return F.concat(*parts)
 
 
-def extract(turns: DataFrame, subject: Column | None = None) -> DataFrame:
-    """(id, pattern, entity_key, fact) of every pattern that a turn matches, once each, natively."""
+def extract(turns: DataFrame, subject: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ..., pattern, entity_key, fact) of every pattern that a turn matches, once each, natively.
+    ``keep`` names columns of the turns that go with their facts."""
     text = F.trim("content")
     who = subject if subject is not None else F.coalesce("scope_user", "scope_agent", "scope_org", F.lit("the user"))
-    found = []
+    hits, keys, said = [], [], []
+    # Patterns first, each once; what a hit says is worded after the explosion, where there are few.
     for n, (rx, key) in enumerate(PATTERNS):
-        x = F.trim(F.regexp_extract(text, rx, 1))
         y = F.trim(F.regexp_extract(text, rx, 2)) if key == "tool." else F.lit("")
+        hits.append(F.struct(F.lit(n).alias("pattern"), F.trim(F.regexp_extract(text, rx, 1)).alias("x"), y.alias("y")))
+        x, y = F.col("f.x"), F.col("f.y")
         tail = {"tool.": T.slug(y), "user.pref.": T.slug(x, 24), "user.avoid.": T.slug(x, 24), "policy.": T.slug(F.split(x, r"\s+")[0], 16)}.get(key, F.lit(""))
-        name = T.normalize_entity_key(F.concat(F.lit(key), tail))
-        fact = _worded(key, who, F.regexp_replace(x, "[.,;!]+$", ""), y)
-        found.append(F.when(x != "", F.struct(F.lit(n).alias("pattern"), name.alias("entity_key"), fact.alias("fact"))))
-    rows = turns.where(F.col("kind").isin("raw_event", "procedure")).select("id", F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("f"))
-    return rows.select("id", "f.*")
+        keys.append(T.normalize_entity_key(F.concat(F.lit(key), tail)))
+        said.append(_worded(key, F.col("_who"), F.regexp_replace(x, "[.,;!]+$", ""), y))
+    rows = turns.where(F.col("kind").isin("raw_event", "procedure")).select("id", *keep, who.alias("_who"), F.explode(F.filter(F.array(*hits), lambda v: v["x"] != "")).alias("f"))
+    pick = lambda cs: F.coalesce(*[F.when(F.col("f.pattern") == n, c) for n, c in enumerate(cs)])
+    return rows.select("id", *keep, "f.pattern", pick(keys).alias("entity_key"), pick(said).alias("fact"))
 
 
 def distinct_facts(facts: DataFrame, order: list, by: list[str]) -> DataFrame:
@@ -80,6 +86,43 @@ def supersede(facts: DataFrame, by: list[str]) -> DataFrame:
     return facts.withColumn("superseded_by", F.lead("id").over(w)).withColumn("invalidated_at", F.lead("t_event").over(w))
 
 
+class Versions:
+    """The word sets of a key's facts, asked for the first that is near a new one.
+
+    Sets this near share a word among the first few of each, in a fixed order: only sets noted
+    under such a word are compared.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.sets, self.same, self.by_word = threshold, [], {}, {}
+
+    def _lead(self, words: frozenset) -> list[str]:
+        most = len(words) - math.ceil(self.threshold * len(words) - 1e-9) + 1
+        return sorted(words, key=lambda w: (-len(w), w))[: max(most, 1)]
+
+    def first(self, words: frozenset) -> str | None:
+        """The name of the first set added that is near ``words``; an empty set is near nothing."""
+        if not words:
+            return None
+        at, tried = self.same.get(words), set()
+        for w in self._lead(words):
+            for n in self.by_word.get(w, ()):
+                if at is not None and n >= at:
+                    break
+                if n not in tried:
+                    tried.add(n)
+                    if len(words & self.sets[n][0]) >= self.threshold * len(words | self.sets[n][0]):
+                        at = n
+        return None if at is None else self.sets[at][1]
+
+    def add(self, words: frozenset, name: str) -> None:
+        if words and words not in self.same:
+            n = self.same[words] = len(self.sets)
+            self.sets.append((words, name))
+            for w in self._lead(words):
+                self.by_word.setdefault(w, []).append(n)
+
+
 def consolidate(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(scope_user, entity_key, id, kept, supersedes) in order of (t_event, id) within a key.
 
@@ -88,21 +131,25 @@ def consolidate(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     schema = "scope_user string, entity_key string, id string, kept boolean, supersedes string"
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_event", "id"])
-        seen: list[frozenset] = []
-        latest, out = None, []
-        for r in pdf.itertuples():
-            words = frozenset(r.words)
-            copy = bool(words) and any(w and len(words & w) >= threshold * len(words | w) for w in seen)
-            out.append((r.scope_user, r.entity_key, r.id, not copy, None if copy else latest))
-            if not copy:
-                seen.append(words)
-                latest = r.id
-        return pd.DataFrame(out, columns=["scope_user", "entity_key", "id", "kept", "supersedes"])
-
-    rows = facts.select("scope_user", "entity_key", "id", "t_event", F.array_distinct(T.words(F.col("fact"))).alias("words"))
-    return rows.groupBy("scope_user", "entity_key").applyInPandas(f, schema)
+    def f(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen, latest = (), Versions(threshold), None
+        for b in rows:
+            kept, before = [], []
+            for user, key, i, words in zip(*(b.column(n).to_pylist() for n in ("scope_user", "entity_key", "id", "words"))):
+                if (user, key) != group:
+                    group, seen, latest = (user, key), Versions(threshold), None
+                words = frozenset(words)
+                copy = seen.first(words) is not None
+                kept.append(not copy)
+                before.append(None if copy else latest)
+                if not copy:
+                    seen.add(words, i)
+                    latest = i
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(kept, pa.bool_()), pa.array(before, pa.string())], names=["scope_user", "entity_key", "id", "kept", "supersedes"])
+
+    rows = facts.select(*[F.col(c).cast("string").alias(c) for c in ("scope_user", "entity_key", "id")], "t_event", F.array_distinct(T.words(F.col("fact"))).alias("words"))
+    dealt = rows.repartition("scope_user", "entity_key").sortWithinPartitions("scope_user", "entity_key", F.asc_nulls_last("t_event"), "id", "words")
+    return dealt.drop("t_event").mapInArrow(f, schema)
 
 
 def revise(found: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -118,16 +165,16 @@ def revise(found: DataFrame, known: DataFrame, threshold: float = 0.85) -> DataF
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["old", "t_event", "id"], ascending=[False, True, True]).to_dict("records")
-        seen: list[tuple[frozenset, str]] = []
+        seen = Versions(threshold)
         latest, out = None, []
         for r in rows:
             words = frozenset(r["words"])
-            copy = next((i for w, i in seen if words and w and len(words & w) >= threshold * len(words | w)), None) if not r["old"] else None
+            copy = seen.first(words) if not r["old"] else None
             if not r["old"]:
                 before = None if copy or latest is None else latest["id"]
                 out.append((r["scope_user"], r["entity_key"], r["id"], copy, before, [*(latest["lineage"] if latest["lineage"] is not None else ()), latest["id"]] if before else []))
             if copy is None:
-                seen.append((words, r["id"]))
+                seen.add(words, r["id"])
                 latest = r if latest is None or (r["t_event"], r["id"]) >= (latest["t_event"], latest["id"]) or not r["old"] else latest
         return pd.DataFrame(out, columns=["scope_user", "entity_key", "id", "copy_of", "supersedes", "demotes"])
 

@@ -529,7 +529,7 @@ query("distinct_facts", f"SELECT min_by(printf('e%09d', event_id), ((epoch_us(ts
     lambda s, d: derive.distinct_facts(derive.extract(_said(s, d)).join(_said(s, d).select("id", "scope_user", "t_event"), "id"), ["t_event", "id"], ["scope_user"]).select("id", "fact"))
 query("close_session", f"WITH t AS (SELECT 's' || user_id AS s, min(event_id % 5 + 1) AS source FROM events GROUP BY 1) SELECT printf('e%09d', event_id) AS id, {_key_sql} AS entity_key, CAST(t.source AS INTEGER) AS source FROM events JOIN t ON s = 's' || user_id WHERE event_id % 9 <> 6")(
     lambda s, d: derive.capped_source(derive.extract(_said(s, d)).join(_said(s, d).select("id", "prov_session"), "id").withColumn("source", F.lit(0)), _said(s, d)).select("id", "entity_key", "source"))
-query("consolidate")(lambda s, d: derive.consolidate(derive.extract(_said(s, d)).join(_said(s, d).select("id", "scope_user", "t_event"), "id")))
+query("consolidate")(lambda s, d: derive.consolidate(derive.extract(_said(s, d), keep=("scope_user", "t_event"))))
 query("supersede_by_key", f"WITH {FACT} SELECT id, superseded_by, invalidated_at FROM fact")(
     lambda s, d: derive.supersede(model.facts(s, d).withColumn("k", F.get("entity_keys", F.lit(0))), ["k"]).select("id", "superseded_by", "invalidated_at"))
 query("entity_cluster", f"WITH {FACT} SELECT entity_keys[1] AS key, count(*) AS n, max(id) AS last FROM fact WHERE {LIVE} GROUP BY 1")(

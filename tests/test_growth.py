@@ -76,3 +76,39 @@ def test_history_contracts_before_it_joins(spark, monkeypatch):
     rows = records(spark, *[record(id=i, superseded_by=n, t_event=NOW + int(i[1:]), entity_keys=[i[0]]) for i, n in chains.items()])
     assert fold.history(rows, spark.createDataFrame([("a007",)], "start string")).count() == 301
     assert asked and max(asked) < 60
+
+
+def test_consolidation_equals_one_by_one(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    facts = [(r.choice(["u", None]), r.choice("kl"), f"f{i:03}", r.randint(0, 200), " ".join(r.sample(words, r.choice([0, 1, 6, 7, 8, 9, 10, 11])))) for i in range(300)]
+    want = {}
+    for user, key in {f[:2] for f in facts}:
+        seen, latest = [], None
+        for _, _, i, _, text in sorted((f for f in facts if f[:2] == (user, key)), key=lambda f: (f[3], f[2])):
+            ws = set(text.split())
+            copy = any(ws and s and len(ws & s) >= 0.85 * len(ws | s) for s in seen)
+            want[i] = (not copy, None if copy else latest)
+            if not copy:
+                seen.append(ws)
+                latest = i
+    got = derive.consolidate(spark.createDataFrame(facts, "scope_user string, entity_key string, id string, t_event long, fact string").repartition(4))
+    assert {x.id: (x.kept, x.supersedes) for x in got.collect()} == want and sum(not k for k, _ in want.values()) > 50
+    assert "FlatMapGroupsInPandas" not in plan(got)  # a call and a table for each key
+
+
+def test_versions_name_the_first_that_is_near():
+    r = random.Random(2)
+    made, seen = derive.Versions(0.85), []
+    for n in range(400):
+        ws = frozenset(r.sample("abcdefghijklm", r.randint(0, 13)))
+        assert made.first(ws) == next((i for s, i in seen if ws and s and len(ws & s) >= 0.85 * len(ws | s)), None)
+        if n % 3:
+            made.add(ws, n)
+            seen.append((ws, n))
+
+
+def test_facts_take_columns_of_their_turns_along(spark):
+    r = records(spark, record(id="1", content="we use redis for caching; always run", scope_user="u", t_event=NOW + 3))
+    got = {(x.entity_key, x.scope_user, x.t_event, x.pattern) for x in derive.extract(r, keep=("scope_user", "t_event")).collect()}
+    assert got == {("tool.caching", "u", NOW + 3, 11), ("policy.run", "u", NOW + 3, 14)}
