@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.functions import text as T
 from palimpsest.functions.visibility import Filter, vector_live, visible
+from palimpsest.sources.store import Store
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FLOOR, QUANTUM = 0.02, 1e-6
@@ -41,14 +42,16 @@ def ordered(score: Column) -> list:
     return [F.desc(score), F.desc("t_event"), F.col("content_key"), F.col("id")]
 
 
-def postings(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of the terms that any query asks; other words never leave the scan.
+def postings(records: DataFrame, asked: DataFrame, seen: Column) -> DataFrame:
+    """(id, dl, seen, term, tf) of the words that any query asks; other words never leave the scan.
 
-    The terms' table is small or not; the join is left to Spark, which sends a small one to all.
+    ``asked`` maps words to terms (word, term): it is small or not; the join is left to Spark, which
+    sends a small one to all. ``seen`` says of a record whether it may be a hit. Length and ``seen``
+    are taken before the explosion, once a record.
     """
-    words = records.select("id", F.explode(T.pieces(F.col("content"))).alias("term"))
-    hits = words.join(terms.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return hits.join(lengths(records), "id").select("id", "dl", "term", "tf")
+    rows = records.select("id", T.token_count(F.col("content")).alias("dl"), F.coalesce(seen, F.lit(False)).alias("seen"), "content")
+    words = rows.select("id", "dl", "seen", F.explode(T.pieces(F.col("content"))).alias("word"))
+    return words.join(asked, "word").groupBy("id", "dl", "seen", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(records: DataFrame) -> DataFrame:
@@ -56,6 +59,18 @@ def lengths(records: DataFrame) -> DataFrame:
     return records.select("id", T.token_count(F.col("content")).alias("dl"))
 
 
+def vocabulary(records: DataFrame, asked: DataFrame, term_of) -> DataFrame:
+    """(word, term): the words of the records that ``term_of`` maps to asked terms.
+
+    Only words that it may alter are listed; its ``alters`` tells them from numbers and the like,
+    of which each record may have its own.
+    """
+    alters = getattr(term_of, "alters", lambda c: F.lit(True))
+    words = records.select(F.explode(T.pieces(F.col("content"))).alias("word")).where(alters(F.col("word"))).distinct()
+    own = asked.where(~alters(F.col("term"))).select(F.col("term").alias("word"), "term")
+    return words.withColumn("term", term_of(F.col("word"))).join(asked, "term", "left_semi").select("word", "term").unionByName(own)
+
+
 def index(records: DataFrame) -> DataFrame:
     """(id, dl, term, tf) of all terms: to be stored beside the log and asked again and again."""
     words = records.select("id", F.explode(T.pieces(F.col("content"))).alias("term"))
@@ -73,17 +88,27 @@ def bm25(records: DataFrame, queries: DataFrame, f: Filter, limit: Column | int,
     own = [limit.alias("most")] if isinstance(limit, Column) else []
     asked = queries.select("query_id", *own, F.explode(T.query_terms(F.col("text"))).alias("term"))
     corpus = records if stats_scope == "all" else records.where(visible(f))
+    store = Store(records.sparkSession)
     if term_of is not None:
         asked = asked.withColumn("term", term_of(F.col("term"))).distinct()
-        stored = index(corpus).withColumn("term", term_of(F.col("term"))).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
-    found = postings(corpus, asked) if stored is None else stored.join(asked.select("term").distinct(), "term")
+    if stored is not None and term_of is not None:
+        stored = stored.withColumn("term", term_of(F.col("term"))).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
+    terms = asked.select("term").distinct()
+    # Tables that are read more than once, or whose size decides how they are joined, are written.
+    if stored is not None:
+        found = store.save(stored.join(terms, "term"))
+        mine = found.join(records.where(visible(f)).select("id"), "id", "left_semi")
+    else:
+        words = terms.select(F.col("term").alias("word"), "term") if term_of is None else store.save(vocabulary(corpus, terms, term_of))
+        found = store.save(postings(corpus, words, visible(f)))
+        mine = found.where("seen")
     total = corpus.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("content"))).alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     odds = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(total)).select("term", F.greatest(odds, F.lit(LEAST_IDF)).alias("idf"), "avgdl")  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = found.join(idf, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), *[F.first("most").alias("most")] * bool(own))
-    hits = scores.join(records.where(visible(f)).select("id", "t_event", "content"), "id").withColumn("content_key", content_key())
+    scores = mine.join(store.save(idf), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), *[F.first("most").alias("most")] * bool(own))
+    hits = store.save(scores).join(records.where(visible(f)).select("id", "t_event", "content"), "id").withColumn("content_key", content_key())
     return top(hits, F.col("most") if own else limit, *ordered(F.col("score"))).select("query_id", "id", "score", "rank")
 
 

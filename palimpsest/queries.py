@@ -321,7 +321,7 @@ def _lanes(s, d, r: DataFrame | None = None) -> dict[str, DataFrame]:
     }
 
 
-query("bm25_stemmed")(lambda s, d: lanes.bm25(model.records(s, d), searches(s), ME, 40, term_of=stemmed))
+query("bm25_stemmed")(lambda s, d: lanes.bm25(_saved(s, d), searches(s), ME, 40, term_of=stemmed))
 query("vector_ann")(lambda s, d: lanes.approximate(model.records(s, d), model.vectors(s, d), _vector_queries(s, d), ME, 40, 16, 10))
 query("query_terms", f"WITH {Q}, {TERMS} SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM qt")(
     lambda s, d: searches(s).select("query_id", F.posexplode(T.query_terms(F.col("text"))).alias("p", "term")).select("query_id", "term", (F.col("p") + 1).cast("long").alias("rank")))

@@ -4,9 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import queries
-from palimpsest.operators import derive, fold, graph, prefix
+from palimpsest.functions.stem import stemmed
+from palimpsest.functions.visibility import Filter
+from palimpsest.operators import derive, fold, fusion, graph, lanes, prefix
 from palimpsest.queries import QUERIES
 from palimpsest.sources.store import names
 from palimpsest.streaming import replay
@@ -112,3 +115,46 @@ def test_facts_take_columns_of_their_turns_along(spark):
     r = records(spark, record(id="1", content="we use redis for caching; always run", scope_user="u", t_event=NOW + 3))
     got = {(x.entity_key, x.scope_user, x.t_event, x.pattern) for x in derive.extract(r, keep=("scope_user", "t_event")).collect()}
     assert got == {("tool.caching", "u", NOW + 3, 11), ("policy.run", "u", NOW + 3, 14)}
+
+
+def read_back(spark, tmp_path):
+    said = ["user 17 did click number 4", "running 99 clicks", "42", "ran"]
+    records(spark, *[record(id=f"r{i}", content=t, scope_user="u") for i, t in enumerate(said)]).write.parquet(f"file://{tmp_path}/records")
+    return spark.read.parquet(f"file://{tmp_path}/records")
+
+
+def reads(df) -> int:
+    return len(re.findall(r"Relation \[id#\d+,ns#", plan(df)))
+
+
+def test_numbers_are_not_mapped_to_stems(spark, tmp_path):
+    """Each record may have a number of its own: only words whose stem may differ reach the stemmer."""
+
+    def term_of(c):
+        return F.when(c.rlike("[0-9]"), F.raise_error(F.lit("a number")).cast("string")).otherwise(F.regexp_replace(c, "(ning|s)$", ""))
+
+    term_of.alters = stemmed.alters
+    r = read_back(spark, tmp_path)
+    for text, want in (("runs", ["r1"]), ("click run", ["r0", "r1"])):
+        q = spark.createDataFrame([(1, text)], "query_id int, text string")
+        assert sorted(x.id for x in lanes.bm25(r, q, Filter(now=NOW), 10, term_of=term_of).collect()) == want
+
+
+def test_numbers_are_found_as_they_are(spark, tmp_path):
+    q = spark.createDataFrame([(1, "42 user clicked")], "query_id int, text string")
+    got = lanes.bm25(read_back(spark, tmp_path), q, Filter(now=NOW), 10, term_of=stemmed)
+    assert {x.id for x in got.collect()} == {"r0", "r1", "r2"}
+
+
+def test_a_search_reads_records_for_its_hits_once(spark, tmp_path):
+    """Terms are counted and written first; only hits meet the records, whose size is not theirs."""
+    q = spark.createDataFrame([(1, "click user")], "query_id int, text string")
+    assert reads(lanes.bm25(read_back(spark, tmp_path), q, Filter(now=NOW), 10)) == 1
+
+
+def test_fusion_writes_its_candidates(spark, tmp_path):
+    """Of known size, they need not be dealt by id together with all records."""
+    r = read_back(spark, tmp_path)
+    q = spark.createDataFrame([(1, "click user")], "query_id int, text string")
+    got = fusion.fuse({"bm25": lanes.bm25(r, q, Filter(now=NOW), 10), "entity": lanes.entity(r, q, Filter(now=NOW))}, q, r)
+    assert [x.id for x in got.collect()] == ["r0"] and reads(got) == 1
