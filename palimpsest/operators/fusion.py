@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.operators.lanes import content_key, ordered, top
 from palimpsest.plans import planner
+from palimpsest.sources.store import Store
 
 # Fixed values of the scoring rule.
 RRF_K, TRUST = 60, 0.01
@@ -29,6 +30,7 @@ def fuse(lanes: dict[str, DataFrame], queries: DataFrame, records: DataFrame, li
     keys = records.select("id", "kind", "source", "t_event", "content")
     kind = reduce(lambda c, kb: F.when(F.col("kind") == kb[0], kb[1]).otherwise(c), KIND_BONUS, F.lit(1.0))
     bonus = F.greatest(1 + F.greatest(TRUST * (F.col("source") - 3), F.lit(0.0)), kind)
+    sums = Store(records.sparkSession).save(sums)  # few: known to be, so the records need not be dealt by id
     scored = sums.join(keys, "id").withColumn("score", F.round(F.col("raw") * bonus, 9)).withColumn("content_key", content_key())
     return top(scored, limit, *ordered(F.col("score"))).select("query_id", "id", "score", F.array_join("lanes", ",").alias("lanes"), "rank")
 
