@@ -55,17 +55,13 @@ class Recent:
 
     def look(self, words: set) -> tuple[dict, list]:
         """What is known, and the words that are not."""
-        new, old, known, lacking = self.new, self.old, {}, []
-        for w in words:
-            v = new.get(w)
-            if v is None:
-                v = old.get(w)
-                if v is None:
-                    lacking.append(w)
-                    continue
-                new[w] = v
-            known[w] = v
-        return known, lacking
+        new, old = self.new, self.old
+        known = {w: new[w] for w in words & new.keys()}
+        rest = words - known.keys()
+        again = {w: old[w] for w in rest & old.keys()}
+        new |= again
+        known |= again
+        return known, list(rest - again.keys())
 
     def add(self, found: dict) -> None:
         self.new.update((w, v) for w, v in found.items() if len(w) <= self.longest)

@@ -15,9 +15,10 @@ import hashlib
 import json
 import re
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,10 @@ SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 PATTERN = public_tokenizers.PATTERN.replace("[^\\s\\p{L}", f"[^{SPACE}\\p{{L}}").replace("\\s", f"[{SPACE}]").replace("(?!\\S)", f"(?![^{SPACE}])")
 #: A pair of ids as one number; marks in the array of ids.
 SHIFT, WALL, GONE = 20, -1, -2
-RUNS = re.compile(r"\s\s|^\s|\s\Z|[\x85\x1c-\x1f]")
+#: Words and pieces in a generation of the cache.
+KNOWN = 120_000
+#: White space that sends a text to the pattern itself.
+ODD = "\x85\x1c\x1d\x1e\x1f"
 
 
 def byte_chars() -> dict[int, str]:
@@ -55,32 +59,33 @@ class Codec:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {vocab[a] << SHIFT | vocab[b]: r for r, (a, b) in enumerate(merges)}
         self.pair = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.start = np.array([*self.first[:255], WALL])
+        self.byte_rank = np.full((256, 256), -1, np.int32)
+        byte_of = {t: b for b, t in enumerate(self.first[:255])}
+        for r, (a, b, _) in enumerate(self.pair):
+            if a in byte_of and b in byte_of:
+                self.byte_rank[byte_of[a], byte_of[b]] = self.rank[a << SHIFT | b]
         self.bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.cache, self.parts = Recent(120_000), Recent(120_000)
+        self.cache = Recent(KNOWN)
 
     def encode_words(self, words: list[str]) -> list[tuple]:
         """Ids of each word, all words being merged together over one pair index."""
         rank, pairs = self.rank, self.pair
-        tok: list[int] = []
-        ends = []
-        for w in words:
-            tok += map(self.first.__getitem__, w.encode())
-            ends.append(len(tok))
-            tok.append(WALL)
-        n = len(tok)
-        where: dict[int, list[int]] = {}
-        for i, p in enumerate([a << SHIFT | b for a, b in zip(tok, tok[1:])]):
-            if p in rank:
-                if p in where:
-                    where[p].append(i)
-                else:
-                    where[p] = [i]
-        heap = [rank[p] for p in where]
-        heapify(heap)
+        # Bytes first: their pairs are ranked by a table, and each rank's positions are cut from one sort.
+        code = np.frombuffer(b"".join([w.encode() + b"\xff" for w in words]), np.uint8)  # no UTF-8 has that byte
+        tok, n = self.start[code].tolist(), len(code)
+        ends = np.flatnonzero(code == 255).tolist()
+        ranks = self.byte_rank[code[:-1], code[1:]]
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        heap, cuts = np.unique(ranks[at], return_index=True)
+        heap = heap.tolist()  # sorted, so a heap
+        places, cuts = at.tolist(), [*cuts.tolist(), len(at)]
+        where = {pairs[r][0] << SHIFT | pairs[r][1]: places[i:j] for r, i, j in zip(heap, cuts, cuts[1:])}
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         while heap:
@@ -113,20 +118,33 @@ class Codec:
         return out
 
     def learn(self, words: set[str]) -> dict[str, tuple]:
-        """Ids of each word; the words that the cache lacks are encoded. A word may hold several pieces."""
+        """Ids of each word; the words that the cache lacks are encoded. A word may hold several pieces.
+
+        One cache serves words and pieces: a piece is a word of one piece.
+        """
         known, new = self.cache.look(words)
-        cut = [self.pieces(w) for w in new]
-        ids, fresh = self.parts.look(set(chain.from_iterable(cut)))
-        encoded = dict(zip(fresh, self.encode_words(fresh)))
-        self.parts.add(encoded)
-        ids |= encoded
-        found = {w: ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for w, c in zip(new, cut)}
+        whole, cut = set(), []
+        for w in new:
+            if w.isascii() and w.removeprefix(" ").isalpha():
+                whole.add(w)  # letters are one piece
+            elif len(c := self.pieces(w)) == 1 and c[0] == w:
+                whole.add(w)
+            else:
+                cut.append((w, c))
+        ids, fresh = self.cache.look(set(chain.from_iterable(c for _, c in cut)) - whole)
+        fresh += whole
+        found = dict(zip(fresh, self.encode_words(fresh)))
+        ids |= found
+        for w, c in cut:
+            found[w] = tuple(chain.from_iterable(map(ids.__getitem__, c)))
         self.cache.add(found)
-        return known | found
+        known |= found
+        return known
 
     def words(self, text: str) -> list[str]:
         """Cuts at single spaces, where a piece always begins; else the pattern's own pieces."""
-        if RUNS.search(text):
+        bare = text.split()
+        if len("".join(bare)) + len(bare) - 1 != len(text) or any(c in text for c in ODD):  # a run of white space, or some at an end
             return self.pieces(text)
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]]

@@ -3,12 +3,16 @@
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from palimpsest import queries
 from palimpsest.functions.stem import stemmed
 from palimpsest.functions.visibility import Filter
+from palimpsest.llm import bpe
+from palimpsest.llm._base import Recent
 from palimpsest.operators import derive, fold, fusion, graph, lanes, prefix
 from palimpsest.queries import QUERIES
 from palimpsest.sources.store import names
@@ -158,3 +162,14 @@ def test_fusion_writes_its_candidates(spark, tmp_path):
     q = spark.createDataFrame([(1, "click user")], "query_id int, text string")
     got = fusion.fuse({"bm25": lanes.bm25(r, q, Filter(now=NOW), 10), "entity": lanes.entity(r, q, Filter(now=NOW))}, q, r)
     assert [x.id for x in got.collect()] == ["r0"] and reads(got) == 1
+
+
+def test_codec_holds_a_word_once():
+    """Words of one piece were held as words and as pieces, in every worker."""
+    codec = bpe.Codec(public_tokenizers.path(bpe.VOCAB))
+    said = ["alpha beta, gamma", " alpha\tbeta  gamma", "", " ", "\x1calpha", "ünï köde", "a\x85b 12 it's"]
+    want = Tokenizer.from_file(public_tokenizers.path(bpe.VOCAB))
+    want.no_padding(), want.no_truncation()
+    assert codec.encode_batch(said) == [want.encode(t, add_special_tokens=False).ids for t in said] == codec.encode_batch(said)
+    held = [w for c in vars(codec).values() if isinstance(c, Recent) for d in (c.new, c.old) for w in d]
+    assert len(held) == len(set(held)) > 5
